@@ -63,8 +63,13 @@ def contrastive_losses(rows: DataFrame, temperature: float = 0.05) -> DataFrame:
     sizes = rows.groupBy("batch").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
     sized = rows.join(sizes, "batch")
     own = F.floor(F.col("pos") / BLOCK).cast("int")
-    left = sized.select("batch", own.alias("_i"), tiles.every_block(F.col("_blocks")).alias("_j"), "pos", "u1", "t1")
-    right = sized.select("batch", tiles.every_block(F.col("_blocks")).alias("_i"), own.alias("_j"), "pos", "u1", "u2", "t1", "t2")
+    left = sized.select(
+        *tiles.renewed("batch"), own.alias("_i"), tiles.every_block(F.col("_blocks")).alias("_j"), *tiles.renewed("pos", "u1", "t1")
+    )
+    right = sized.select(
+        *tiles.renewed("batch"), tiles.every_block(F.col("_blocks")).alias("_i"), own.alias("_j"),
+        *tiles.renewed("pos", "u1", "u2", "t1", "t2"),
+    )
     keys = ["batch", "_i", "_j"]
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_kernel(temperature), _OUT)
     peaks = F.max("peak")

@@ -114,9 +114,9 @@ def split_audit(rows: DataFrame, parts: list[str] | None = None, text: str = "ut
         *[F.count_if(F.col(s) > 0).alias(f"{s}_intents") for s in names],
         F.count_if((F.col("test") > 0) & (F.col("train") == 0)).alias("absent_intents"),
     )
-    return texts.join(intents, parts) if parts else texts.withColumn("_one", F.lit(1)).join(
-        intents.withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
+    counts = [c for c in [*texts.columns, *intents.columns] if c not in parts]
+    both = texts.unionByName(intents, allowMissingColumns=True)
+    return both.groupBy(*parts).agg(*[F.max(c).alias(c) for c in dict.fromkeys(counts)])
 
 
 def absent_intents(rows: DataFrame, parts: list[str] | None = None) -> DataFrame:

@@ -35,6 +35,11 @@ def every_block(blocks: Column | int) -> Column:
     return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
 
 
+def renewed(*names: str) -> list[Column]:
+    """The columns under new identities, so both sides of a tile may come from one DataFrame."""
+    return [F.col(n).alias(n) for n in names]
+
+
 def matrix(table: pa.Table, name: str) -> np.ndarray:
     """A list column as a dense double matrix; ragged or non-finite input stops the job."""
     column = table.column(name).combine_chunks()

@@ -310,15 +310,18 @@ def read_embeddings(spark: SparkSession, path, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
-def read_run_results(spark: SparkSession, grid: DataFrame, path) -> DataFrame:
-    """Expected (condition, seed, file) grid against result files; absent or malformed ones are null."""
+def read_run_results(spark: SparkSession, grid: DataFrame, path, name: str = "([^/]+)$") -> DataFrame:
+    """Expected (condition, seed, file) grid against result files; absent or malformed ones are null.
+
+    ``name`` is the part of a file's path that ``file`` holds.
+    """
     schema = (
         "benchmark_sha256 string, source_unchanged boolean, "
         "export_audit struct<source_unchanged:boolean,reload_max_abs_diff:double>, "
         "test_diagnostics map<string,struct<accuracy:double>>"
     )
     files = spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("file"),
+        F.regexp_extract("path", name, 1).alias("file"),
         F.from_json(F.col("content").cast("string"), schema).alias("result"),
         F.try_parse_json(F.col("content").cast("string")).isNotNull().alias("parsed"),
     )
@@ -329,14 +332,21 @@ def read_run_results(spark: SparkSession, grid: DataFrame, path) -> DataFrame:
     )
 
 
+# Two code points Unicode reserves for internal use, standing for new brackets.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
 def tag_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """Bracket-annotate text with a regular expression per label, applied in the given order.
 
-    Text already inside a bracket is left alone, so labels never nest.
+    Every pass reads either a whole bracket group, which it keeps, or a match, which it wraps, so labels
+    never nest and a pass is linear in the text. Patterns must not capture groups or match nothing.
     """
     out = F.col(text)
     for label, pattern in patterns.items():
-        out = F.regexp_replace(out, rf"({pattern})(?![^\[\]]*\])", f"[{label} : $1]")
+        marked = F.regexp_replace(out, rf"(\[[^\[\]]*\])|({pattern})", f"$1{_OPEN}{label} : $2{_CLOSE}")
+        kept = F.replace(marked, F.lit(f"{_OPEN}{label} : {_CLOSE}"), F.lit(""))
+        out = F.translate(kept, _OPEN + _CLOSE, "[]")
     return df.withColumn("annotation", out)
 
 
