@@ -1,11 +1,14 @@
-"""Compare registered queries with their oracles: python tools_check.py [sf] [name ...]."""
+"""Compare registered queries with their oracles: python tools/check_oracle.py [sf] [name ...]."""
 
 import sys
+from pathlib import Path
 import time
 
 import duckdb
 import pandas as pd
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
 from slotweave.plans.registry import catalogue
 from slotweave.plans.views import TABLES
 from slotweave.session import local_session
