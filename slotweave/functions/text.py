@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,7 +79,7 @@ def casefold(x: Column) -> Column:
     the code-point table, and only one holding a character that folds to several pays for the map.
     """
     src, dst, many = _fold_tables()
-    pairs = F.create_map(*[F.lit(v) for kv in many.items() for v in kv])
+    pairs = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
     expanded = F.array_join(
         F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), ""
     )
@@ -109,6 +110,24 @@ def text_key(x: Column) -> Column:
     return collapse_whitespace(casefold(x))
 
 
+# Keys longer than this are compared by their digest, so long texts are never shuffled to be compared.
+KEY_CHARS = 64
+
+
+def with_match_key(df: DataFrame, text: str = "utterance", out: str = "key") -> DataFrame:
+    """Add the key to join or group equal texts on: the comparison key, or a digest when it is long.
+
+    A digest is one character longer than the longest plain key, so the two cannot be confused.
+    """
+    whole = F.col("_whole_key")
+    compact = F.when(F.char_length(whole) <= KEY_CHARS, whole).otherwise(F.concat(F.lit("#"), F.sha2(whole, 256)))
+    return df.withColumn("_whole_key", text_key(F.col(text))).withColumn(out, compact).drop("_whole_key")
+
+
+def int_div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
 def commas_to_spaces(x: Column) -> Column:
     return F.translate(x, ",", " ")
 

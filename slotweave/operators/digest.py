@@ -29,7 +29,7 @@ def ordered_digest(df: DataFrame, columns: list[str], position: str, parts: list
     level = df.select(*parts, F.col(position).alias("_p"), row_digest(columns).alias("_h"), F.lit(1).cast("bigint").alias("_n"))
     for _ in range(levels):
         ordered = F.array_sort(F.collect_list(F.struct("_p", "_h")))
-        level = level.groupBy(*parts, F.floor(F.col("_p") / fanout).cast("bigint").alias("_q")).agg(
+        level = level.groupBy(*parts, F.call_function("div", F.col("_p"), F.lit(fanout)).alias("_q")).agg(
             F.sha2(F.array_join(F.transform(ordered, lambda s: s["_h"]), ""), 256).alias("_h"), F.sum("_n").alias("_n")
         ).withColumnRenamed("_q", "_p")
     # Rows beyond fanout**levels would leave several roots; that is an error, not a digest.

@@ -18,8 +18,7 @@ FIRST_WORD = 4
 
 
 def words(text: Column) -> Column:
-    key = X.collapse_whitespace(text)
-    return F.when(key == "", F.array().cast("array<string>")).otherwise(F.split(key, " "))
+    return F.filter(F.split(text, f"{X.ws_class()}+"), lambda w: w != "")
 
 
 def token_vocabulary(df: DataFrame, size: int, text: str = "text") -> DataFrame:

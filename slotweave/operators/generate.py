@@ -26,20 +26,38 @@ MANY = 2**40
 _SLOTS = "array<struct<lit:string,cands:array<string>,stride:bigint>>"
 
 
-def attach_candidates(examples: DataFrame, vocabulary: DataFrame) -> DataFrame:
+# A vocabulary up to this many values and characters is sent to every task as one map per source.
+SMALL_VALUES = 100_000
+SMALL_CHARS = 4_000_000
+
+
+def is_small(vocabulary: DataFrame) -> bool:
+    """Check the size of a (staged) vocabulary."""
+    size = vocabulary.agg(F.count("*").alias("n"), F.sum(F.char_length("value") + F.char_length("kind")).alias("c")).first()
+    return size["n"] <= SMALL_VALUES and (size["c"] or 0) <= SMALL_CHARS
+
+
+def attach_candidates(examples: DataFrame, vocabulary: DataFrame, small: bool | None = None) -> DataFrame:
     """Give each example a map kind -> candidate values.
 
-    Kinds are joined, not broadcast: Spark picks the join by run-time size, and an over-long kind
-    partition is split by adaptive execution. The grouping brings examples back together by id.
+    A small vocabulary is one map per source and joins in place. A large one is joined by kind: Spark
+    picks the join by run-time size, an over-long kind partition is split by adaptive execution, and
+    examples are brought together again by id.
     """
     arrays = vocabulary_arrays(vocabulary)
+    small = is_small(vocabulary) if small is None else small
+    if small:
+        maps = arrays.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("kind", "vals"))).alias("cands"))
+        joined = examples.join(F.broadcast(maps), "source", "left")
+        empty = F.from_json(F.lit("{}"), "map<string,array<string>>")
+        return joined.withColumn("cands", F.coalesce("cands", empty))
     kinds = F.array_distinct(F.filter(F.transform("parts", lambda p: p["kind"]), lambda k: k.isNotNull()))
     keys = ["source", "ex_id"]
     rest = [c for c in examples.columns if c not in keys]
     exploded = examples.select(*keys, F.struct(*rest).alias("_row"), F.explode_outer(kinds).alias("kind"))
-    joined = exploded.join(arrays, ["source", "kind"], "left")
-    entries = F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "vals")))
-    grouped = joined.groupBy(*keys).agg(F.any_value("_row").alias("_row"), F.map_from_entries(entries).alias("cands"))
+    matched = exploded.join(arrays, ["source", "kind"], "left")
+    entries = F.collect_list(F.when(F.col("vals").isNotNull(), F.struct("kind", "vals")))
+    grouped = matched.groupBy(*keys).agg(F.any_value("_row").alias("_row"), F.map_from_entries(entries).alias("cands"))
     return grouped.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], "cands")
 
 
@@ -63,11 +81,11 @@ def combination_count(parts: Column, cands: Column) -> Column:
 
 
 def plan_examples(examples: DataFrame, vocabulary: DataFrame, cap: int | None = None,
-                  unknown_slot: str = "error") -> DataFrame:
+                  unknown_slot: str = "error", small: bool | None = None) -> DataFrame:
     """Resolve candidates, strides and counts; one row per example."""
     if cap is not None and cap < 1:
         raise ValueError("cap must be positive")
-    rows = attach_candidates(examples, vocabulary)
+    rows = attach_candidates(examples, vocabulary, small)
     sizes = _sizes(F.col("parts"), F.col("cands"))
     rows = rows.withColumn("_sizes", sizes).withColumn("combinations", _product(F.col("_sizes")))
     slots = F.transform(
@@ -97,7 +115,7 @@ def spell(slots: Column, idx: Column) -> Column:
         F.transform(
             slots,
             lambda s: F.when(s["cands"].isNull(), s["lit"]).otherwise(
-                F.get(s["cands"], ((F.floor(idx / s["stride"])).cast("bigint") % F.size(s["cands"])).cast("int"))
+                F.get(s["cands"], (X.int_div(idx, s["stride"]) % F.size(s["cands"])).cast("int"))
             ),
         ),
         "",
@@ -110,7 +128,7 @@ def _deepest_rank(slots: Column, idx: Column) -> Column:
         slots,
         F.lit(0).cast("bigint"),
         lambda a, s: F.when(s["cands"].isNull(), a).otherwise(
-            F.greatest(a, F.floor(idx / s["stride"]).cast("bigint") % F.size(s["cands"]) + 1)
+            F.greatest(a, X.int_div(idx, s["stride"]) % F.size(s["cands"]) + 1)
         ),
     )
 
@@ -209,35 +227,38 @@ def expand(planned: DataFrame, with_depth: bool = False, partitions: int | None
     ).repartition(n, "source", "ex_id", "_chunk")
     first = F.col("_chunk") * CHUNK - F.when(F.col("_chunk") == 0, 1).otherwise(0)
     stop = F.least((F.col("_chunk") + 1) * CHUNK, F.col("total")) - 1
-    indexed = spread.withColumn("_idx", F.explode(F.sequence(first, stop, F.lit(1).cast("bigint"))))
-    original = F.col("_idx") < 0
-    text = F.when(original, F.col("utterance")).otherwise(spell(F.col("slots"), F.col("_idx")))
-    ambiguous = F.col("_risky") & ~original
-    spelled = indexed.withColumn("_text", text).withColumn(
-        "_ways", F.when(ambiguous, spellings(F.col("slots"), F.col("_text")))
-    )
-    keep = original | (
-        (F.col("_text") != F.col("utterance"))
-        & F.when(F.col("_risky"), F.col("_ways.idx") == F.col("_idx")).otherwise(F.lit(True))
+    slots = F.col("slots")
+
+    # Texts are spelt inside the generator: a projection before the filter would be spelt twice.
+    def one(i):
+        fields = [
+            (i + 1).alias("variant"),
+            F.when(i < 0, F.col("utterance")).otherwise(spell(slots, i)).alias("text"),
+        ]
+        if with_depth:
+            fields.append(F.when(i < 0, F.lit(0).cast("bigint")).otherwise(_deepest_rank(slots, i)).alias("depth"))
+        return F.struct(*fields)
+
+    texts = F.transform(F.sequence(first, stop, F.lit(1).cast("bigint")), one)
+    spelt = spread.withColumn("_t", F.explode(texts))
+    original = F.col("_t.variant") == 0
+    spelt = spelt.filter(original | (F.col("_t.text") != F.col("utterance"))).withColumn(
+        "_ways", F.when(F.col("_risky") & ~original, spellings(slots, F.col("_t.text")))
     )
-    extra = []
-    if with_depth:
-        own = _deepest_rank(F.col("slots"), F.col("_idx"))
-        extra = [F.when(original, F.lit(0)).when(F.col("_risky"), F.col("_ways.depth")).otherwise(own).alias("depth")]
+    kept = spelt.filter(F.col("_ways").isNull() | (F.col("_ways.idx") + 1 == F.col("_t.variant")))
+    extra = [F.coalesce(F.col("_ways.depth"), F.col("_t.depth")).alias("depth")] if with_depth else []
     carried = [c for c in planned.columns if c not in ("slots", "total", "utterance", "parts")]
-    return spelled.filter(keep).select(
-        *carried, (F.col("_idx") + 1).alias("variant"), F.col("_text").alias("utterance"), *extra
-    )
+    return kept.select(*carried, F.col("_t.variant").alias("variant"), F.col("_t.text").alias("utterance"), *extra)
 
 
 def generate(examples: DataFrame, vocabulary: DataFrame, cap: int | None = None,
-             unknown_slot: str = "error", commas: str = "keep") -> DataFrame:
+             unknown_slot: str = "error", commas: str = "keep", small: bool | None = None) -> DataFrame:
     """(source, ex_id, ..., variant, utterance, pattern) for every example.
 
     Examples need: source, ex_id, utterance, parts; other columns are carried along.
     """
     ready = examples.withColumn("pattern", A.parts_to_pattern(F.col("parts")))
-    out = expand(plan_examples(ready, vocabulary, cap, unknown_slot))
+    out = expand(plan_examples(ready, vocabulary, cap, unknown_slot, small))
     if commas == "space":
         return out.withColumns({c: X.commas_to_spaces(F.col(c)) for c in ("utterance", "pattern")})
     if commas != "keep":
@@ -322,7 +343,7 @@ def number_source_rows(rows: DataFrame, out: str = "source_row") -> DataFrame:
     Ranks are taken inside blocks of one example's variants; block sizes are summed within examples,
     example sizes within id ranges, and id ranges within the source.
     """
-    block = F.floor(F.col("variant") / BUCKET_ROWS).cast("bigint")
+    block = X.int_div(F.col("variant"), F.lit(BUCKET_ROWS))
     tagged = rows.withColumn("_vb", block)
     keys = ["source", "ex_id", "_vb"]
     before = Window.unboundedPreceding
@@ -330,7 +351,7 @@ def number_source_rows(rows: DataFrame, out: str = "source_row") -> DataFrame:
     in_example = F.sum("_n").over(Window.partitionBy("source", "ex_id").orderBy("_vb").rowsBetween(before, -1))
     blocks = sizes.withColumn("_in_example", F.coalesce(in_example, F.lit(0)))
     examples = sizes.groupBy("source", "ex_id").agg(F.sum("_n").alias("_n")).withColumn(
-        "_range", F.floor(F.col("ex_id") / BUCKET_ROWS).cast("bigint")
+        "_range", X.int_div(F.col("ex_id"), F.lit(BUCKET_ROWS))
     )
     in_range = F.sum("_n").over(Window.partitionBy("source", "_range").orderBy("ex_id").rowsBetween(before, -1))
     ranges = examples.groupBy("source", "_range").agg(F.sum("_n").alias("_n"))

@@ -11,7 +11,7 @@ from slotweave.sources.ordinals import number_rows
 
 def heldout_keys(df: DataFrame, text: str = "utterance", scope: list[str] | None = None) -> DataFrame:
     """Distinct comparison keys, per ``scope`` columns or pooled."""
-    return df.select(*(scope or []), X.text_key(F.col(text)).alias("key")).distinct()
+    return X.with_match_key(df.select(*(scope or []), F.col(text).alias("_text")), "_text").drop("_text").distinct()
 
 
 def exact_partition(rows: DataFrame, valid: DataFrame, test: DataFrame, split: str, text: str = "utterance") -> DataFrame:
@@ -40,7 +40,7 @@ def route_by_membership(rows: DataFrame, valid: DataFrame, test: DataFrame, text
 def decontaminate(rows: DataFrame, keys: DataFrame, text: str = "utterance", scope: list[str] | None = None) -> DataFrame:
     """Drop rows whose comparison key is held out."""
     on = [*(scope or []), "key"]
-    return rows.withColumn("key", X.text_key(F.col(text))).join(keys, on, "left_anti").select(*rows.columns)
+    return X.with_match_key(rows, text).join(keys, on, "left_anti").select(*rows.columns)
 
 
 def flag_heldout(rows: DataFrame, keys: DataFrame, text: str = "utterance", scope: list[str] | None = None,
@@ -48,7 +48,7 @@ def flag_heldout(rows: DataFrame, keys: DataFrame, text: str = "utterance", scop
     """Keep every row and say whether it is held out, so counts and output come from one pass."""
     on = [*(scope or []), "key"]
     tagged = keys.withColumn("_hit", F.lit(True))
-    joined = rows.withColumn("key", X.text_key(F.col(text))).join(tagged, on, "left")
+    joined = X.with_match_key(rows, text).join(tagged, on, "left")
     return joined.select(*rows.columns, F.coalesce("_hit", F.lit(False)).alias(out))
 
 
@@ -59,7 +59,7 @@ def cascade(rows: DataFrame, parts: list[str] | None = None, text: str = "uttera
     in train or valid: one key table and one join decide every split.
     """
     parts = parts or []
-    keyed = rows.withColumn("key", X.text_key(F.col(text)))
+    keyed = X.with_match_key(rows, text)
     seen = (
         keyed.filter(F.col("split").isin("train", "valid"))
         .groupBy(*parts, "key")
@@ -102,7 +102,7 @@ def split_audit(rows: DataFrame, parts: list[str] | None = None, text: str = "ut
     """Rows, intents, duplicates and overlaps per part, each from one grouping on its own key."""
     parts = parts or []
     names = ("train", "valid", "test")
-    by_key = rows.groupBy(*parts, X.text_key(F.col(text)).alias("key")).agg(*[_split_count(s).alias(s) for s in names])
+    by_key = X.with_match_key(rows, text).groupBy(*parts, "key").agg(*[_split_count(s).alias(s) for s in names])
     texts = by_key.groupBy(*parts).agg(
         *[F.sum(s).alias(f"{s}_rows") for s in names],
         *[F.sum(F.greatest(F.col(s) - 1, F.lit(0))).alias(f"{s}_duplicates") for s in names],

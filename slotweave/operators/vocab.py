@@ -46,11 +46,16 @@ def entity_value_occurrences(examples: DataFrame, roles: bool = False) -> DataFr
     return rows.select("source", kind.alias("kind"), F.col("e.value").alias("value"), "ord", "pos")
 
 
+# Slots an example may have; (ord, pos) is packed into one number so that counting stays a hash
+# aggregate (a struct minimum would sort all occurrences first). Overflow and longer examples are errors.
+MAX_SLOTS = 65_536
+
+
 def slot_frequencies(occurrences: DataFrame) -> DataFrame:
     """Count and first appearance per (source, kind, value); combined on the map side."""
-    return occurrences.groupBy("source", "kind", "value").agg(
-        F.count("*").alias("cnt"), F.min(F.struct("ord", "pos")).alias("first")
-    )
+    too_long = F.raise_error(F.lit("too many slots in one example")).cast("bigint")
+    place = F.when(F.col("pos") < MAX_SLOTS, F.col("ord") * F.lit(MAX_SLOTS).cast("bigint") + F.col("pos")).otherwise(too_long)
+    return occurrences.groupBy("source", "kind", "value").agg(F.count("*").alias("cnt"), F.min(place).alias("first"))
 
 
 def top_values(frequencies: DataFrame, ks: dict[str, int] | int) -> DataFrame:

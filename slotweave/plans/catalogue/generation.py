@@ -99,7 +99,7 @@ def entity_value_freq(t):
         F.collect_list(F.struct("start", "stop", "kind", "value")).alias("spans")
     ).withColumn("source", F.lit("parts"))
     freq = V.slot_frequencies(V.entity_value_occurrences(rows))
-    return freq.select("source", "kind", "value", "cnt", F.col("first.ord").alias("first_ex"))
+    return freq.select("source", "kind", "value", "cnt", X.int_div(F.col("first"), F.lit(V.MAX_SLOTS)).alias("first_ex"))
 
 
 @query(oracle(["annotated"], """
@@ -174,7 +174,7 @@ SELECT source, ex_id, variant, replace(utterance, ',', ' ') AS utterance, replac
 def augment_unknown_slot(t):
     """Historic rules: one kind has no vocabulary, so its examples keep only their original; commas go."""
     clean = corpus.clean_training(examples(t))
-    vocabulary = V.top_values(V.slot_frequencies(V.slot_occurrences(clean)).filter(F.col("kind") != "brand"), KS)
+    vocabulary = corpus.staged_vocabulary(clean, KS).filter(F.col("kind") != "brand")
     out = G.generate(clean, vocabulary, unknown_slot="original_only", commas="space")
     return out.select("source", "ex_id", "variant", "utterance", "pattern")
 
@@ -206,7 +206,7 @@ SELECT intent, k, count(*) AS "rows" FROM (
 def topk_sweep(t):
     """Rows per intent for k = 0..5 from a single generation."""
     clean = corpus.clean_training(examples(t))
-    return G.depth_sweep(clean, V.slot_vocabulary(clean, 5), [0, 1, 2, 3, 4, 5], ["intent"])
+    return G.depth_sweep(clean, corpus.staged_vocabulary(clean, 5), [0, 1, 2, 3, 4, 5], ["intent"])
 
 
 @query(oracle(["annotated"], """
@@ -215,7 +215,7 @@ SELECT c.source, c.intent, count(*) AS examples, CAST(sum(CASE c.source WHEN 'sh
               clean_sql() + "," + vocab_sql()))
 def augment_size_estimate(t):
     clean = corpus.clean_training(examples(t))
-    return G.size_estimate(clean, V.slot_vocabulary(clean, KS), ["source", "intent"])
+    return G.size_estimate(clean, corpus.staged_vocabulary(clean, KS), ["source", "intent"])
 
 
 REPORT = """

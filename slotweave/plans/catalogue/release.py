@@ -12,7 +12,7 @@ from slotweave.plans.catalogue.generation import EVIDENCE_SQL, KS, evidence, gen
 from slotweave.plans.catalogue.texts import SLOTS, examples
 from slotweave.plans.registry import query
 from slotweave.plans.views import oracle
-from slotweave.session import cut_lineage, fresh_path
+from slotweave.session import fresh_path, stage
 from slotweave.sources import writers as W
 
 RELEASED_SQL = generated_sql() + """,
@@ -87,7 +87,7 @@ def check_report(t):
 SELECT 4 AS checks, 1 AS failed, FALSE AS eligible FROM (SELECT count(*) FROM released)""", RELEASED_SQL))
 def release_gate(t):
     """The unquoted sink's comma rule fails, so this release is not eligible."""
-    rows = cut_lineage(released(t))
+    rows = stage(released(t), "released")
     u, p = F.col("utterance"), F.col("pattern")
     manifest = rows.groupBy("source").agg(F.lit("prepared").alias("status"), F.lit(None).cast("int").alias("cap"), F.lit(0).alias("truncated"))
     order = manifest.agg(F.collect_list("source").alias("order"))
@@ -126,7 +126,7 @@ def package_rows(t):
 SELECT source, count(*) AS "rows", TRUE AS verified FROM released GROUP BY source""", RELEASED_SQL))
 def package_round_trip(t):
     """Write the release, read it back, compare rows, numbering and digests."""
-    rows = cut_lineage(released(t))
+    rows = stage(released(t), "released")
     path = fresh_path(t.spark, "release")
     W.write_per_source_parquet(rows, path)
     return P.verify_round_trip(t.spark, rows, path).select("source", "rows", "verified")

@@ -9,6 +9,7 @@ from slotweave.operators import generate as G
 from slotweave.operators import packaging as P
 from slotweave.operators import splits as S
 from slotweave.operators import vocab as V
+from slotweave.session import stage
 from slotweave.sources.ordinals import by_ord, number_rows
 
 
@@ -22,11 +23,18 @@ def clean_training(rows: DataFrame, scope: list[str] | None = None) -> DataFrame
     return S.decontaminate(rows.filter(F.col("split") == "train"), heldout(rows, scope), scope=scope)
 
 
+def staged_vocabulary(clean: DataFrame, ks: dict[str, int] | int) -> DataFrame:
+    """The vocabulary as a written table: it must be complete before generation starts, and its size
+    decides how examples get their candidates."""
+    return stage(V.slot_vocabulary(clean, ks), "vocabulary")
+
+
 def generation_inputs(rows: DataFrame, ks: dict[str, int] | int, scope: list[str], cap: int | None = None,
                       unknown_slot: str = "error") -> tuple[DataFrame, DataFrame]:
     """The unfiltered generation and the held-out keys it must be filtered with."""
     clean = clean_training(rows, scope)
-    return G.generate(clean, V.slot_vocabulary(clean, ks), cap, unknown_slot), heldout(rows, scope)
+    vocabulary = staged_vocabulary(clean, ks)
+    return G.generate(clean, vocabulary, cap, unknown_slot), heldout(rows, scope)
 
 
 def augment(rows: DataFrame, ks: dict[str, int] | int, scope: list[str], cap: int | None = None,
@@ -45,4 +53,5 @@ def number_examples(rows: DataFrame, order: str, out: str = "pair") -> DataFrame
 
 def release(rows: DataFrame, ks: dict[str, int] | int, scope: list[str]) -> DataFrame:
     """The released table: utterance, pattern, slot_count, source, source_row."""
-    return P.released_rows(augment(rows, ks, scope))
+    pairs = stage(augment(rows, ks, scope), "pairs")  # numbering reads them twice
+    return P.released_rows(pairs)

@@ -42,7 +42,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and go on from there.
+
+    Used where a result is needed more than once or its size decides the next plan. The files outlive
+    lost executors, and compressed columns are smaller than a checkpoint of rows.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -59,6 +59,16 @@ def number_rows(df: DataFrame, order: list[str], buckets: list[Column], parts: l
     )
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer tasks than the session has cores; larger scans stay as they are.
+
+    A small file with one row group is read by one task. A large table already has many, and is
+    never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def by_ord(column: str = "ord", rows: int = BUCKET_ROWS) -> list[Column]:
     """The usual bucket of a dense or nearly dense order column."""
-    return [F.floor(F.col(column) / rows).cast("bigint")]
+    return [F.call_function("div", F.col(column), F.lit(rows))]

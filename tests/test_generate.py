@@ -68,6 +68,14 @@ def test_collisions_equal_brute_force(spark, monkeypatch):
     assert got == expected
 
 
+def test_large_vocabulary_path_equals_small(spark):
+    rows = [(f"s{i % 2}", i, f"go {i % 5} {i % 3}", f"go [n : {i % 5}] [m : {i % 3}]") for i in range(60)]
+    ex = examples(spark, rows + [("s0", 99, "plain", "plain"), ("s2", 1, "none", "none")])
+    vo = V.slot_vocabulary(ex, 3)
+    small, large = G.generate(ex, vo, small=True), G.generate(ex, vo, small=False)
+    assert texts(small) == texts(large) and len(texts(small)) > 400
+
+
 def test_unknown_slot_keeps_the_original(spark):
     ex = examples(spark, [("s", 1, "go, x", "go, [city : x] [other : y]")])
     vo = vocab_df(spark, [("s", "city", 1, "a", 1)])
