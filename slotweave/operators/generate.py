@@ -1,8 +1,10 @@
 """Slot-substitution generation.
 
 Every example is a mixed-radix counter: slot i has the values of its kind, the last slot runs fastest.
-A row per (example, chunk of CHUNK combinations) is spread over the cluster and decoded there, so no
-task holds more than one chunk of an example, however many combinations the example has.
+The counter is cut behind its last slots, as many as have at most CHUNK combinations together. A row per
+(example, combination of the slots before the cut) is spread over the cluster, and the slots after the
+cut are multiplied out there: no task holds more than CHUNK texts of an example at a time, however many
+combinations the example has.
 
 Removing repeated texts inside an example needs no shuffle of generated rows: a combination is kept
 exactly when it is the first one that spells its text, which the row can decide by itself.
@@ -221,26 +223,16 @@ def expand(planned: DataFrame, with_depth: bool = False, partitions: int | None
     """
     spark = planned.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = F.greatest(F.ceil(F.col("total") / CHUNK).cast("bigint"), F.lit(1).cast("bigint"))
-    spread = planned.withColumn("_risky", may_collide(F.col("slots"))).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))
-    ).repartition(n, "source", "ex_id", "_chunk")
-    first = F.col("_chunk") * CHUNK - F.when(F.col("_chunk") == 0, 1).otherwise(0)
-    stop = F.least((F.col("_chunk") + 1) * CHUNK, F.col("total")) - 1
-    slots = F.col("slots")
-
-    # Texts are spelt inside the generator: a projection before the filter would be spelt twice.
-    def one(i):
-        fields = [
-            (i + 1).alias("variant"),
-            F.when(i < 0, F.col("utterance")).otherwise(spell(slots, i)).alias("text"),
-        ]
-        if with_depth:
-            fields.append(F.when(i < 0, F.lit(0).cast("bigint")).otherwise(_deepest_rank(slots, i)).alias("depth"))
-        return F.struct(*fields)
-
-    texts = F.transform(F.sequence(first, stop, F.lit(1).cast("bigint")), one)
-    spelt = spread.withColumn("_t", F.explode(texts))
+    one, slots, block = F.lit(1).cast("bigint"), F.col("slots"), F.col("_block")
+    strides = F.concat(F.transform(slots, lambda s: s["stride"]), F.array("combinations"))
+    fitting = F.array_max(F.filter(strides, lambda x: (x >= 1) & (x <= CHUNK)))
+    sized = planned.withColumn("_risky", may_collide(slots)).withColumn("_block", F.coalesce(fitting, one))
+    chunks = F.greatest(X.int_div(F.col("total") + block - 1, block), one)
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))
+    spread = sized.withColumn("_chunk", chunk).withColumn("_first", F.col("_chunk") * block).drop("_chunk").repartition(
+        n, "source", "ex_id", "_first"
+    )
+    spelt = spread.withColumn("_t", F.explode(_chunk_texts(with_depth)))
     original = F.col("_t.variant") == 0
     spelt = spelt.filter(original | (F.col("_t.text") != F.col("utterance"))).withColumn(
         "_ways", F.when(F.col("_risky") & ~original, spellings(slots, F.col("_t.text")))
@@ -251,6 +243,49 @@ def expand(planned: DataFrame, with_depth: bool = False, partitions: int | None
     return kept.select(*carried, F.col("_t.variant").alias("variant"), F.col("_t.text").alias("utterance"), *extra)
 
 
+def _chunk_texts(with_depth: bool) -> Column:
+    """Texts of one chunk row, as structs (variant, text, depth); the first chunk starts with the original.
+
+    The generator spells them, not a projection: a filter behind a projection would spell them twice.
+    """
+    slots, first, block, zero = F.col("slots"), F.col("_first"), F.col("_block"), F.lit(0).cast("bigint")
+    lead = F.filter(slots, lambda s: s["stride"] >= block)
+    tail = F.filter(slots, lambda s: s["stride"] < block)
+
+    def text(value, depth):
+        fields = [value.alias("text")] + ([depth.alias("depth")] if with_depth else [])
+        return F.struct(*fields)
+
+    def depth_of(a):
+        return a["depth"] if with_depth else zero
+
+    def multiply(acc, s):
+        grown = F.flatten(
+            F.transform(
+                acc,
+                lambda a: F.transform(
+                    s["cands"],
+                    lambda c, j: text(F.concat(a["text"], c), F.greatest(depth_of(a), j.cast("bigint") + 1)),
+                ),
+            )
+        )
+        fixed = F.transform(acc, lambda a: text(F.concat(a["text"], s["lit"]), depth_of(a)))
+        return F.when(s["cands"].isNull(), fixed).otherwise(grown)
+
+    start = F.array(text(spell(lead, first), _deepest_rank(lead, first)))
+    products = F.slice(F.aggregate(tail, start, multiply), F.lit(1), F.least(block, F.col("total") - first).cast("int"))
+
+    def numbered(t, i):
+        fields = [(first + i.cast("bigint") + 1).alias("variant"), t["text"].alias("text")]
+        return F.struct(*fields, *([t["depth"].alias("depth")] if with_depth else []))
+
+    originals = F.struct(zero.alias("variant"), F.col("utterance").alias("text"), *([zero.alias("depth")] if with_depth else []))
+    own = F.transform(products, numbered)
+    none = F.slice(F.array(originals), 1, 0)
+    own = F.when(F.col("total") > 0, own).otherwise(none)
+    return F.when(first == 0, F.concat(F.array(originals), own)).otherwise(own)
+
+
 def generate(examples: DataFrame, vocabulary: DataFrame, cap: int | None = None,
              unknown_slot: str = "error", commas: str = "keep", small: bool | None = None) -> DataFrame:
     """(source, ex_id, ..., variant, utterance, pattern) for every example.

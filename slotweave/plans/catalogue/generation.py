@@ -173,7 +173,7 @@ SELECT source, ex_id, variant, replace(utterance, ',', ' ') AS utterance, replac
               generated_sql(keep="kind <> 'brand'")))
 def augment_unknown_slot(t):
     """Historic rules: one kind has no vocabulary, so its examples keep only their original; commas go."""
-    clean = corpus.clean_training(examples(t))
+    clean = corpus.staged_training(examples(t))
     vocabulary = corpus.staged_vocabulary(clean, KS).filter(F.col("kind") != "brand")
     out = G.generate(clean, vocabulary, unknown_slot="original_only", commas="space")
     return out.select("source", "ex_id", "variant", "utterance", "pattern")
@@ -205,7 +205,7 @@ SELECT intent, k, count(*) AS "rows" FROM (
               clean_sql() + "," + vocab_sql("5") + "," + spelled_sql()))
 def topk_sweep(t):
     """Rows per intent for k = 0..5 from a single generation."""
-    clean = corpus.clean_training(examples(t))
+    clean = corpus.staged_training(examples(t))
     return G.depth_sweep(clean, corpus.staged_vocabulary(clean, 5), [0, 1, 2, 3, 4, 5], ["intent"])
 
 
@@ -214,7 +214,7 @@ SELECT c.source, c.intent, count(*) AS examples, CAST(sum(CASE c.source WHEN 'sh
   (SELECT product(n) AS p FROM sizes WHERE source = 'ship') s, (SELECT product(n) AS p FROM sizes WHERE source = 'order') o GROUP BY 1, 2""",
               clean_sql() + "," + vocab_sql()))
 def augment_size_estimate(t):
-    clean = corpus.clean_training(examples(t))
+    clean = corpus.staged_training(examples(t))
     return G.size_estimate(clean, corpus.staged_vocabulary(clean, KS), ["source", "intent"])
 
 

@@ -300,12 +300,9 @@ ends AS (SELECT utt_id, arg_min(vec, pos) AS first, arg_max(vec, pos) AS last_re
 SELECT l.utt_id, l.d AS dim, round(first[l.d + 1], 6) AS first, round(last_real[l.d + 1], 6) AS last_real, round(l2, 6) AS mean,
   round((l0 + l2) / 2, 6) AS mean_first_last, round((l1 + l2) / 2, 6) AS mean_last_two FROM layers l JOIN ends e ON l.utt_id = e.utt_id""")
 def token_pooling(t):
-    tokens = token_rows(t)
-    out = None
-    for how in O.POOLERS:
-        one = O.pool(tokens, how).select("utt_id", F.lit(how).alias("how"), F.posexplode("vec").alias("dim", "x"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("utt_id", "dim").agg(*[r6(F.max(F.when(F.col("how") == h, F.col("x")))).alias(h) for h in O.POOLERS])
+    pooled = O.pool_all(token_rows(t))
+    dims = pooled.select("utt_id", F.posexplode(F.arrays_zip(*O.POOLERS)).alias("dim", "p"))
+    return dims.select("utt_id", "dim", *[r6(F.col(f"p.{h}")).alias(h) for h in O.POOLERS])
 
 
 # Metadata of the plot table: labels as intents, every fifth vector without a slot in its template.

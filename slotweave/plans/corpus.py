@@ -9,7 +9,7 @@ from slotweave.operators import generate as G
 from slotweave.operators import packaging as P
 from slotweave.operators import splits as S
 from slotweave.operators import vocab as V
-from slotweave.session import stage
+from slotweave.session import broadcast_if_small, stage
 from slotweave.sources.ordinals import by_ord, number_rows
 
 
@@ -17,10 +17,16 @@ def heldout(rows: DataFrame, scope: list[str]) -> DataFrame:
     return S.heldout_keys(rows.filter(F.col("split") != "train"), scope=scope)
 
 
-def clean_training(rows: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def clean_training(rows: DataFrame, scope: list[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Training examples without held-out texts, per source unless told otherwise."""
     scope = ["source"] if scope is None else scope
-    return S.decontaminate(rows.filter(F.col("split") == "train"), heldout(rows, scope), scope=scope)
+    keys = heldout(rows, scope) if keys is None else keys
+    return S.decontaminate(rows.filter(F.col("split") == "train"), keys, scope=scope)
+
+
+def staged_training(rows: DataFrame, scope: list[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Clean examples as a written table: counting and generation both read them."""
+    return stage(clean_training(rows, scope, keys), "examples")
 
 
 def staged_vocabulary(clean: DataFrame, ks: dict[str, int] | int) -> DataFrame:
@@ -31,10 +37,16 @@ def staged_vocabulary(clean: DataFrame, ks: dict[str, int] | int) -> DataFrame:
 
 def generation_inputs(rows: DataFrame, ks: dict[str, int] | int, scope: list[str], cap: int | None = None,
                       unknown_slot: str = "error") -> tuple[DataFrame, DataFrame]:
-    """The unfiltered generation and the held-out keys it must be filtered with."""
-    clean = clean_training(rows, scope)
+    """The unfiltered generation and the held-out keys it must be filtered with.
+
+    Keys filter the input and the output, examples are counted and expanded: both are written once.
+    Keys are broadcast when they are measured to be small, so generated rows are then filtered where
+    they are made.
+    """
+    keys = broadcast_if_small(stage(heldout(rows, scope), "heldout"))
+    clean = staged_training(rows, scope, keys)
     vocabulary = staged_vocabulary(clean, ks)
-    return G.generate(clean, vocabulary, cap, unknown_slot), heldout(rows, scope)
+    return G.generate(clean, vocabulary, cap, unknown_slot), keys
 
 
 def augment(rows: DataFrame, ks: dict[str, int] | int, scope: list[str], cap: int | None = None,

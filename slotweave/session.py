@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "slotweave",
@@ -51,3 +52,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Sides up to this many bytes of text are sent to every task; larger ones are joined by shuffle.
+BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def broadcast_if_small(staged: DataFrame, limit: int | None = None) -> DataFrame:
+    """Mark a staged table for broadcast after measuring it; leave it to a shuffled join otherwise."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in staged.columns), F.lit(0))
+    size = staged.agg(F.sum(width).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(staged) if size <= limit else staged
