@@ -102,7 +102,10 @@ def rstrip(x: Column) -> Column:
 
 
 def collapse_whitespace(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, f"{ws_class()}+", " "))
+    """Runs of white space to one space, none at the ends. Single spaces never match, so most are free."""
+    ws = ws_class()
+    other = char_class(whitespace_chars().replace(" ", ""))
+    return F.trim(F.regexp_replace(x, f"{other}{ws}*| {ws}+", " "))
 
 
 def text_key(x: Column) -> Column:

@@ -245,3 +245,21 @@ def augment_from_log(t):
     joined = logged.join(ids.select("pair", "ex_id", "source", "split"), "pair")
     replay = joined.select("ex_id", "source", "split", "utterance", A.parse_annotation(F.col("annotation")).alias("parts"))
     return corpus.augment(replay, KS, scope=["source"]).select("source", "ex_id", "variant", "utterance", "pattern")
+
+
+@query(oracle(["annotated"], """
+SELECT source, ex_id, variant, replace(utterance, ',', ' ') AS utterance,
+  CASE source WHEN 'ship' THEN regexp_replace(replace(pattern, ',', ' '), 'zone [0-9]+', '{SLOT}') ELSE pattern END AS pattern
+FROM generated WHERE NOT held AND (source = 'order' OR variant = 0)""", generated_sql()))
+def augment_legacy_brackets(t):
+    """Historic reading: a literal bracket masks like a slot but names no kind, so only the original
+    of its example is kept."""
+    rows = t.view("annotated").withColumn("annotation", F.regexp_replace("annotation", "zone [0-9]+", "[ zone ]"))
+    parsed = rows.withColumn("parts", A.legacy_brackets_to_parts(F.col("annotation"))).drop("annotation")
+    keys = corpus.heldout(parsed, ["source"])
+    clean = corpus.staged_training(parsed, keys=keys)
+    known = clean.withColumn("parts", F.filter("parts", lambda p: p["kind"] != "zone"))
+    vocabulary = corpus.staged_vocabulary(known, KS)
+    out = S.decontaminate(G.generate(clean, vocabulary, unknown_slot="original_only"), keys, scope=["source"])
+    return out.select("source", "ex_id", "variant", X.commas_to_spaces(F.col("utterance")).alias("utterance"),
+                      X.commas_to_spaces(F.col("pattern")).alias("pattern"))

@@ -6,6 +6,7 @@ from slotweave.functions import text as X
 from slotweave.operators import splits as S
 from slotweave.plans.registry import query
 from slotweave.plans.views import key_sql, oracle
+from slotweave.sources.ordinals import by_ord, number_rows
 
 K_U = key_sql("utterance")
 
@@ -201,3 +202,13 @@ def key_union(t):
     return parts.groupBy("key").agg(F.count("*").alias("n")).agg(
         F.count("*").alias("union_keys"), F.count_if(F.col("n") == 3).alias("in_all"), F.count_if(F.col("n") == 1).alias("in_one")
     )
+
+
+@query(oracle(["doc_rows"], """
+SELECT concat_ws('/', task, split, CAST(row_number() OVER (PARTITION BY task, split ORDER BY idx) - 1 AS VARCHAR)) AS row_id, id,
+  trim(utterance) <> '' AND trim(intent) <> '' AS usable FROM doc_rows"""))
+def benchmark_row_ids(t):
+    """task/split/index ids; a split with most of the rows is numbered over many buckets."""
+    numbered = number_rows(t.view("doc_rows"), ["idx"], by_ord("idx", 1024), ["task", "split"], out="i")
+    usable = ~X.is_blank(F.col("utterance")) & ~X.is_blank(F.col("intent"))
+    return numbered.select(X.row_id(F.col("task"), F.col("split"), F.col("i")).alias("row_id"), "id", usable.alias("usable"))

@@ -138,3 +138,23 @@ def test_per_example_counting(spark):
     occ = {(r["value"], r["cnt"]) for r in V.slot_frequencies(V.slot_occurrences(ex)).collect()}
     per = {(r["value"], r["cnt"]) for r in V.slot_frequencies(V.slot_occurrences(ex, "per_example")).collect()}
     assert occ == {("x", 2), ("y", 2)} and per == {("x", 1), ("y", 2)}
+
+
+def test_literal_bracket_masks_but_is_no_entity(spark):
+    df = spark.createDataFrame([("s", 1, "time in [ country ]", "time in [ country ]")], "source string, ex_id bigint, utterance string, a string")
+    ex = df.withColumn("parts", A.legacy_brackets_to_parts(F.col("a"))).drop("a")
+    rows = G.generate(ex, vocab_df(spark, []), unknown_slot="original_only").collect()
+    assert [(r["utterance"], r["pattern"]) for r in rows] == [("time in [ country ]", "time in {SLOT}")]
+
+
+def test_pooled_and_isolated_heldout(spark):
+    from slotweave.plans import corpus
+
+    rows = [("m", 1, "massive own", "massive own", "train"), ("m", 2, "held m", "held m", "test"),
+            ("h", 3, "cross source", "cross source", "train"), ("h", 4, "massive own", "massive own", "test"),
+            ("m", 5, "Cross  Source", "Cross  Source", "valid")]
+    df = spark.createDataFrame(rows, "source string, ex_id bigint, utterance string, annotation string, split string")
+    df = df.withColumn("parts", A.parse_annotation(F.col("annotation"))).drop("annotation")
+    isolated = {r["utterance"] for r in corpus.augment(df, 2, ["source"]).collect()}
+    pooled = {r["utterance"] for r in corpus.augment(df, 2, []).collect()}
+    assert isolated == {"massive own", "cross source"} and pooled == set()

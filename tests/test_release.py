@@ -235,3 +235,13 @@ def test_parallel_writer_and_checksums(spark, tmp_path):
     b = spark.createDataFrame(before)
     (tmp_path / "f/a").write_text("y")
     assert D.changed_files(b, D.file_checksums(spark, str(tmp_path / "f"))).count() == 1
+
+
+def test_reports_and_projection(spark, tmp_path):
+    rows = spark.createDataFrame([(0.5, -1.0, "0:Pattern", "play {SLOT}, now")], "x double, y double, label string, value string")
+    W.write_projection(rows, str(tmp_path / "plot"))
+    assert R._csv(spark, str(tmp_path / "plot"), ",").first()["value"] == "play {SLOT}, now"
+    W.write_report(rows, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first()["y"] == -1.0
+    with pytest.raises(Exception):
+        W.write_report(rows, str(tmp_path / "report"))
