@@ -12,6 +12,8 @@ exactly when it is the first one that spells its text, which the row can decide
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ CHUNK = 1024
 # Saturation bound of combination counts; far below the bigint limit so one more product cannot overflow.
 MANY = 2**40
 
+# Generated rows a task should make; the number of tasks follows from the expected output.
+ROWS_PER_TASK = 2_000_000
+
 _SLOTS = "array<struct<lit:string,cands:array<string>,stride:bigint>>"
 
 
@@ -216,13 +221,20 @@ def spellings(slots: Column, text: Column) -> Column:
     return F.get(F.filter(ends, lambda e: e["at"] == F.char_length(text) + 1), F.lit(0))
 
 
+def task_count(planned: DataFrame) -> int:
+    """Tasks for the expansion, from the rows it will make: a session's shuffle setting is tuned to
+    inputs, and the output may be hundreds of times larger."""
+    expected = planned.agg(F.sum((F.col("total") + 1).cast("double")).alias("rows")).first()["rows"] or 0.0
+    least = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(expected / ROWS_PER_TASK))
+
+
 def expand(planned: DataFrame, with_depth: bool = False, partitions: int | None = None) -> DataFrame:
     """Original first (variant 0), then the distinct products in order (variant = index + 1).
 
     ``with_depth`` adds the smallest depth k at which the text appears; 0 for originals.
     """
-    spark = planned.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or task_count(planned)
     one, slots, block = F.lit(1).cast("bigint"), F.col("slots"), F.col("_block")
     strides = F.concat(F.transform(slots, lambda s: s["stride"]), F.array("combinations"))
     fitting = F.array_max(F.filter(strides, lambda x: (x >= 1) & (x <= CHUNK)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions import text as X
@@ -129,14 +129,21 @@ def absent_intents(rows: DataFrame, parts: list[str] | None = None) -> DataFrame
 def seeded_sample(rows: DataFrame, n: int, seed: int, id_col: str, parts: list[str] | None = None) -> DataFrame:
     """The ``n`` rows per part with the smallest seeded hash; callers order by their own index.
 
-    The hash prefix is the numbering bucket, so even a large sample of one hot part is ranked in
-    parallel.
+    Counting by hash prefix tells which prefixes hold the smallest n hashes; every other row is dropped
+    before any shuffle, and only the kept prefixes are ranked.
     """
     if n < 1:
         raise ValueError("sample limits must be positive")
-    hashed = rows.withColumn("_h", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_col).cast("string"))))
-    ranked = number_rows(hashed, ["_h", id_col], [F.substr("_h", F.lit(1), F.lit(3))], parts, out="_rank")
-    return ranked.filter(F.col("_rank") < n).select(*rows.columns)
+    parts = parts or []
+    keys = [*parts, "_b"]
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_col).cast("string")))
+    hashed = rows.withColumn("_h", digest).withColumn("_b", F.substr("_h", F.lit(1), F.lit(4)))
+    sizes = hashed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    needed = sizes.select(*keys, F.coalesce(before, F.lit(0)).alias("_before")).filter(F.col("_before") < n)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", id_col)) + F.col("_before")
+    kept = hashed.join(needed, keys).withColumn("_place", place).filter(F.col("_place") <= n)
+    return kept.select(*rows.columns)
 
 
 def label_vocabulary(rows: DataFrame, label: str = "intent", out: str = "label_idx") -> DataFrame:
