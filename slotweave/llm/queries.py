@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import pieces, simhash
+from slotweave.llm import packing, pieces, simhash
 from slotweave.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces)}
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces, op8_packing)}
 
 ORACLES: dict[str, str] = {}
