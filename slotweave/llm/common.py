@@ -55,23 +55,18 @@ def held_out_py(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int | None = None) -> DataFrame:
-    """(doc_id, text, y): the labelled documents one may learn from, at most about ``rows`` of them.
+def labelled_ids(labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, y) of at most ``rows`` labelled documents one may learn from, spread over the ids by their hash.
 
-    Beyond ``rows`` labels a share of the ids is taken by the hash of the id, so the choice is the same on every run
-    and spread over the corpus. Labels are joined before the texts move: the id list is small beside the documents.
+    The choice is the same on every run. Ids labelled twice count once, with the larger label.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     )
-    if rows is not None:
-        spread = F.pmod(F.xxhash64(F.lit("labelled"), "doc_id"), F.lit(1 << 30))
-        count = known.count()
-        if count > rows:
-            known = known.where(spread < int(rows / count * (1 << 30)))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "y")
+    return known.orderBy(F.xxhash64(F.lit("learning"), "doc_id"), "doc_id").limit(rows)
 
 
-def gather(values: np.ndarray, index: np.ndarray) -> float:
-    return float(values[index].sum()) if len(index) else 0.0
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, text, y): at most ``rows`` labelled documents; their ids, so few, go to the documents."""
+    return docs.select("doc_id", "text").join(F.broadcast(labelled_ids(labels, label, rows)), "doc_id")
