@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import held_out, labelled, small_batches, text_udf
+from slotweave.llm.common import held_out, labelled, labelled_ids, small_batches, text_udf
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 12_000  # labelled rows read for training
-SHARDS = 4
-EPOCHS = 3
+SHARD_ROWS = 3_000  # rows that one task learns from
+EPOCHS, UPDATES = 3, 12_000  # passes over a shard at least; small shards are passed until so many updates
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 0.02, 0.05
 KEEP = 0.3  # score from which a document counts as good
 MEMO_WORDS = 200_000
@@ -112,7 +112,7 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not rows:
         return
     model = Ftrl()
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, UPDATES // len(rows))):
         for at, value, y in rows:
             model.learn(at, value, y)
     w = model.weights(slice(None))
@@ -125,13 +125,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """The weights: BUCKETS floats. Without labelled rows all are zero, and every score is one half."""
     small_batches(docs.sparkSession)
     sample = labelled(docs, labels, label, rows)
+    shards = max(1, -(-labelled_ids(labels, label, rows).count() // SHARD_ROWS))
     order = F.xxhash64(F.lit("order"), "doc_id")
-    dealt = sample.select("text", "y", order.alias("o")).repartition(SHARDS, "o").sortWithinPartitions("o")
+    dealt = sample.select("text", "y", order.alias("o")).repartition(shards, "o").sortWithinPartitions("o")
     parts = dealt.mapInArrow(_trainer, "at int, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow().to_pandas()
     model = np.zeros(BUCKETS, dtype=np.float32)
-    shards = parts.loc[parts["at"] == -1, "w"].sum()
+    trained = parts.loc[parts["at"] == -1, "w"].sum()
     parts = parts[parts["at"] >= 0]
-    model[parts["at"].to_numpy()] = parts["w"].to_numpy() / max(1.0, shards)
+    model[parts["at"].to_numpy()] = parts["w"].to_numpy() / max(1.0, trained)
     return model
 
 
