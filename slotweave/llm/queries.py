@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import packing, pieces, quality, simhash
+from slotweave.llm import packing, pieces, quality, rules, simhash
 from slotweave.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality, op4_pieces, op8_packing)}
+def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality, op4_pieces, op8_packing, op9_rules)}
 
 ORACLES: dict[str, str] = {}
