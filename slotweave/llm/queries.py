@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import packing, pieces, quality, rules, simhash
+from slotweave.llm import packing, pieces, piecewise, quality, rules, simhash
 from slotweave.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_piecewise(spark: SparkSession, folder: str) -> DataFrame:
+    return piecewise.fingerprints(table(spark, folder, "documents"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -29,6 +33,6 @@ def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality, op4_pieces, op8_packing, op9_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_piecewise, op3_quality, op4_pieces, op8_packing, op9_rules)}
 
 ORACLES: dict[str, str] = {}
