@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import packing, pieces, piecewise, quality, rules, simhash
+from slotweave.llm import packing, pieces, piecewise, quality, rules, simhash, urls
 from slotweave.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,6 +37,6 @@ def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_piecewise, op3_quality, op4_pieces, op8_packing, op9_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_piecewise, op3_quality, op4_pieces, op6_urls, op8_packing, op9_rules)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_urls": urls.oracle()}
