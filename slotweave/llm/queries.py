@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import packing, pieces, piecewise, quality, rules, simhash, urls
+from slotweave.llm import licences, packing, pieces, piecewise, quality, rules, simhash, urls
 from slotweave.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_piecewise, op3_quality, op4_pieces, op6_urls, op8_packing, op9_rules)}
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
 
-ORACLES: dict[str, str] = {"op6_urls": urls.oracle()}
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_piecewise, op3_quality, op4_pieces, op6_urls, op8_packing, op9_rules, op10_licences)}
+
+ORACLES: dict[str, str] = {"op6_urls": urls.oracle(), "op10_licences": licences.oracle()}
