@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import licences, packing, pieces, piecewise, quality, rules, simhash, urls
+from slotweave.llm import licences, packing, pieces, piecewise, quality, rules, simhash, toxicity, urls
 from slotweave.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
@@ -41,6 +45,6 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_piecewise, op3_quality, op4_pieces, op6_urls, op8_packing, op9_rules, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_piecewise, op3_quality, op4_pieces, op5_toxicity, op6_urls, op8_packing, op9_rules, op10_licences)}
 
 ORACLES: dict[str, str] = {"op6_urls": urls.oracle(), "op10_licences": licences.oracle()}
