@@ -27,8 +27,9 @@ from slotweave.session import stage
 
 LEARN_ROWS = 12_000  # labelled rows read for learning
 SUPPORT, SUPPORT_SHARE = 4, 0.015  # contexts and documents with a term: at least, and as a share of the toxic ones
-RATIO = 20.0  # how much commoner a term is in toxic documents
-STEMS, STEM_WORDS = (4, 5, 6), 3  # lengths of stems; different words a stem must have
+RATIO, STEM_RATIO = 20.0, 8.0  # how much commoner a word, a stem is in toxic documents
+ENOUGH = 3.0  # log ratio beyond which a longer stem is no better than a commoner one
+STEMS, STEM_WORDS, STEM_SUPPORT = range(4, 9), 8, 2  # lengths of stems; different words, and times the support, a stem must have
 EDITS = ((5, 1), (9, 2))  # from this length on, so many edits
 EDIT_FACTOR, QUOTED_FACTOR = 0.5, 0.3
 WINDOW = 3  # words around a term that are looked at for quotation
@@ -51,8 +52,7 @@ class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     clean: set[str] = field(default_factory=set)  # near misses met in clean documents
-    slope: float = 4.0
-    offset: float = -4.0
+    weights: tuple[float, float, float] = (4.0, 0.0, -4.0)  # of the sum, of the sum per hundred words, and an offset
 
 
 def edits_allowed(word: str) -> int:
@@ -168,8 +168,9 @@ def mass(found: list[tuple[str, str, float, int, bool]]) -> float:
     return sum(weight * (QUOTED_FACTOR if inside else 1.0) for _, _, weight, _, inside in found)
 
 
-def probability(lexicon: Lexicon, found: list[tuple[str, str, float, int, bool]]) -> float:
-    x = lexicon.slope * math.log1p(mass(found)) + lexicon.offset
+def probability(lexicon: Lexicon, total: float, words: int) -> float:
+    a, b, c = lexicon.weights
+    x = a * math.log1p(total) + b * math.log1p(100 * total / max(1, words)) + c
     return 1.0 / (1.0 + math.exp(-min(35.0, max(-35.0, x))))
 
 
@@ -221,24 +222,25 @@ def _sample_hits(lexicon: Lexicon):
                 batch.column("y").cast(pa.int32()), pa.array([[h[0] for h in f] for f in found], type=pa.list_(pa.string())),
                 pa.array([[h[2] for h in f] for f in found], type=pa.list_(pa.float64())),
                 pa.array([[h[3] for h in f] for f in found], type=pa.list_(pa.int32())),
-                pa.array([[h[4] for h in f] for f in found], type=pa.list_(pa.bool_()))], names=["y", "words", "weights", "edits", "quoted"])
+                pa.array([[h[4] for h in f] for f in found], type=pa.list_(pa.bool_())),
+                pa.array([len((text or "").split()) for text in batch.column("text").to_pylist()], type=pa.int64())],
+                names=["y", "words", "weights", "edits", "quoted", "size"])
 
     return run
 
 
-def calibrate(masses: np.ndarray, y: np.ndarray, prior: float = 1.0) -> tuple[float, float]:
-    """Slope and offset of the probability by penalised Newton steps."""
-    x = np.stack([np.log1p(masses), np.ones(len(masses))], axis=1)
-    w = np.array([1.0, -1.0])
+def calibrate(masses: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights of the probability by penalised Newton steps."""
+    x = np.stack([np.log1p(masses), np.log1p(100 * masses / np.maximum(1, sizes)), np.ones(len(masses))], axis=1)
+    w, penalty = np.array([1.0, 0.0, -1.0]), np.array([0.05, 0.05, 0.01])
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -35, 35)))
-        gradient = x.T @ (p - y) + np.array([0.05, 0.01]) * prior * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.05, 0.01]) * prior
-        step = np.linalg.solve(hessian, gradient)
+        gradient = x.T @ (p - y) + penalty * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
         w = w - step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return tuple(float(v) for v in w)
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Lexicon:
@@ -258,28 +260,27 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Lexicon
     names = ("context", "word", "first", "last", "doc")
     terms = seen.groupBy("term").agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in names])
     terms = terms.where(F.least("context", "first", "last", "doc") >= support).where(
-        ~F.col("term").endswith("*") | (F.col("word") >= STEM_WORDS))
+        ~F.col("term").endswith("*") | (F.col("word") >= STEM_WORDS) & (F.col("first") >= STEM_SUPPORT * support))
     candidates = {r["term"]: r["doc"] for r in terms.select("term", "doc").toArrow().to_pylist()}
     found = sample.where("y = 0").select("text").mapInArrow(_clean_counts(set(candidates)), "term string, n long")
     often = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist()}
     weights = {t: math.log((n + 0.5) / (toxic + 1)) - math.log((often.get(t, 0) + 0.5) / (clean + 1)) for t, n in candidates.items()}
-    weights = {t: w for t, w in weights.items() if w >= math.log(RATIO)}
-    for term, weight in sorted(weights.items(), key=lambda x: (len(x[0]), x[0])):
-        if any(term.startswith(s) for s in lexicon.stems):
-            continue  # a shorter stem has it
-        if term.endswith("*"):
-            lexicon.stems[term[:-1]] = weight
-        else:
-            lexicon.words[term] = weight
-    lexicon.words = {w: x for w, x in lexicon.words.items() if not any(w.startswith(s) for s in lexicon.stems)}
-    met = sample.mapInArrow(_sample_hits(lexicon), "y int, words array<string>, weights array<double>, edits array<int>, quoted array<boolean>")
+    # Of stems that go on from one another, the one that is common and telling enough stands for all.
+    stems = [t[:-1] for t, w in weights.items() if t.endswith("*") and w >= math.log(STEM_RATIO)]
+    for stem in sorted(stems, key=lambda x: (-candidates[x + "*"] * min(ENOUGH, weights[x + "*"]), len(x), x)):
+        if not any(stem.startswith(s) or s.startswith(stem) for s in lexicon.stems):
+            lexicon.stems[stem] = weights[stem + "*"]
+    lexicon.words = {t: w for t, w in sorted(weights.items()) if not t.endswith("*") and w >= math.log(RATIO)
+                     and not any(t.startswith(s) for s in lexicon.stems)}
+    met = sample.mapInArrow(_sample_hits(lexicon), "y int, words array<string>, weights array<double>, edits array<int>, quoted array<boolean>, size long")
     met = met.toArrow().to_pylist()
     bad = Counter(w for r in met if r["y"] for w in set(r["words"]))
     good = Counter(w for r in met if not r["y"] for w, e in set(zip(r["words"], r["edits"])) if e)
     lexicon.clean = {w for w, n in good.items() if bad[w] <= 2 * n}
     masses = [sum(x * (QUOTED_FACTOR if q else 1.0) for w, x, e, q in zip(r["words"], r["weights"], r["edits"], r["quoted"])
                   if not (e and w in lexicon.clean)) for r in met]
-    lexicon.slope, lexicon.offset = calibrate(np.array(masses), np.array([r["y"] for r in met], dtype=float))
+    sizes, y = np.array([r["size"] for r in met]), np.array([r["y"] for r in met], dtype=float)
+    lexicon.weights = calibrate(np.array(masses), sizes, y)
     return lexicon
 
 
@@ -288,7 +289,7 @@ def score_column(lexicon: Lexicon, text: str | Column = "text") -> Column:
 
     def make():
         matcher = Matcher(lexicon)
-        return lambda value: (probability(lexicon, hits(value, matcher)),)
+        return lambda value: (probability(lexicon, mass(hits(value, matcher)), len(value.split())),)
 
     return text_udf("score double", make)(text)["score"]
 
