@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import licences, packing, pieces, piecewise, quality, rules, simhash, toxicity, urls
+from slotweave.llm import licences, packing, pieces, piecewise, preferences, quality, rules, simhash, toxicity, urls
 from slotweave.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
 
+def op7_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    return preferences.format_conversations(table(spark, folder, "conversations"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,6 +49,13 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_piecewise, op3_quality, op4_pieces, op5_toxicity, op6_urls, op8_packing, op9_rules, op10_licences)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_piecewise, op3_quality, op4_pieces, op5_toxicity, op6_urls, op7_preferences, op8_packing, op9_rules,
+    op10_licences,
+)}
 
-ORACLES: dict[str, str] = {"op6_urls": urls.oracle(), "op10_licences": licences.oracle()}
+ORACLES: dict[str, str] = {
+    "op6_urls": urls.oracle(),
+    "op7_preferences": preferences.oracle(),
+    "op10_licences": licences.oracle(),
+}
