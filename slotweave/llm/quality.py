@@ -117,8 +117,8 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model.learn(at, value, y)
     w = model.weights(slice(None))
     at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(([-1], at)).astype(np.int32)), pa.array(np.concatenate(([1.0], w[at])))], names=["at", "w"])
+    yield pa.RecordBatch.from_arrays([
+        pa.array([at.astype(np.int32)], type=pa.list_(pa.int32())), pa.array([w[at]], type=pa.list_(pa.float64()))], names=["at", "w"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
@@ -128,11 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     shards = max(1, -(-labelled_ids(labels, label, rows).count() // SHARD_ROWS))
     order = F.xxhash64(F.lit("order"), "doc_id")
     dealt = sample.select("text", "y", order.alias("o")).repartition(shards, "o").sortWithinPartitions("o")
-    parts = dealt.mapInArrow(_trainer, "at int, w double").groupBy("at").agg(F.sum("w").alias("w")).toArrow().to_pandas()
+    parts = dealt.mapInArrow(_trainer, "at array<int>, w array<double>").toArrow()  # a row for each shard
     model = np.zeros(BUCKETS, dtype=np.float32)
-    trained = parts.loc[parts["at"] == -1, "w"].sum()
-    parts = parts[parts["at"] >= 0]
-    model[parts["at"].to_numpy()] = parts["w"].to_numpy() / max(1.0, trained)
+    for at, w in zip(parts.column("at"), parts.column("w")):
+        model[at.values.to_numpy()] += w.values.to_numpy().astype(np.float32) / parts.num_rows
     return model
 
 
