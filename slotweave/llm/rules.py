@@ -175,10 +175,11 @@ def learn(rows: np.ndarray, bad: np.ndarray, seed: int = 7) -> list[list[Conditi
 def learn_from(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> list[list[Condition]]:
     """Rules from the statistics of at most ``rows`` labelled documents that pass the base."""
     small_batches(docs.sparkSession)
-    s = F.col("s")
-    sample = labelled(docs, labels, "quality", rows).select("y", "doc_id", statistics_column().alias("s")).where(~base_failed(s))
-    found = sample.select("doc_id", "y", *[s[name].alias(name) for name in STATISTICS]).toArrow().to_pandas()
-    found = found.sort_values(["doc_id", "y", *STATISTICS])  # the same order on every run
+    sample = labelled(docs, labels, "quality", rows).select("doc_id", "y", statistics_column().alias("s"))
+    # No filter on the statistics here: it would move below the join, to every document.
+    found = sample.select("doc_id", "y", "s.*").toArrow().to_pandas()
+    failed = (found["n_words"] < MIN_WORDS) | (found["n_repeat_words"] * 100 > found["n_words"] * MAX_REPEATED)
+    found = found[~failed].sort_values(["doc_id", "y", *STATISTICS])  # the same order on every run
     return learn(found[STATISTICS].to_numpy(dtype=float), found["y"].to_numpy() == 0)
 
 
