@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from slotweave.llm.common import small_batches, text_udf
 
 SPACE = "▁"
-MEMO_CHUNKS, MEMO_CHARS = 200_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 400_000, 48
 MEMO_PAIRS = 500_000
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
