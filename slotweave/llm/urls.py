@@ -84,18 +84,18 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The score, in steps, that gives the least mean error of both classes on (score, known); 0 without both."""
+    """The score that gives the least mean error of both classes on (score, known), in the middle of its gap; 0 without both."""
     bins = scored.groupBy(F.floor(F.col("score") * STEPS).alias("bin")).agg(
         F.sum((F.col("known") == "allow").cast("long")).alias("a"), F.sum((F.col("known") == "block").cast("long")).alias("b"))
     # A few thousand bins at most: scores are logarithms of smoothed probabilities.
     every, upto = Window.partitionBy(), Window.partitionBy().orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     wrong = bins.select(
-        "bin", F.sum("a").over(every).alias("na"), F.sum("b").over(every).alias("nb"),
+        "bin", F.lag("bin").over(Window.partitionBy().orderBy("bin")).alias("under"), F.sum("a").over(every).alias("na"), F.sum("b").over(every).alias("nb"),
         F.coalesce(F.sum("a").over(upto), F.lit(0)).alias("lost"),
         (F.sum("b").over(every) - F.coalesce(F.sum("b").over(upto), F.lit(0))).alias("passed"))
     best = wrong.where("na > 0 AND nb > 0").orderBy(
-        F.col("lost") * F.col("nb") + F.col("passed") * F.col("na"), "bin").select("bin").first()
-    return best["bin"] / STEPS if best else 0.0
+        F.col("lost") * F.col("nb") + F.col("passed") * F.col("na"), "bin").select("bin", "under").first()
+    return (best["bin"] + (best["bin"] if best["under"] is None else best["under"] + 1)) / 2 / STEPS if best else 0.0
 
 
 def judge(pages: DataFrame, rules=None) -> DataFrame:
@@ -150,9 +150,9 @@ l{k} AS (SELECT s{k}.gram, {probability} FROM {source})""")
     parts.append(f"""scored AS (SELECT r, round(sum(ln(pa) - ln(pb)) / count(*), 6) AS score FROM grams JOIN l{ORDER} USING (gram) GROUP BY r),
 bins AS (SELECT floor(score * {STEPS}) AS bin, count(*) FILTER (known = 'allow') AS a, count(*) FILTER (known = 'block') AS b
   FROM scored JOIN ruled USING (r) WHERE page_id % {FOLD} = 0 AND known IS NOT NULL GROUP BY 1),
-wrong AS (SELECT bin, sum(a) OVER () AS na, sum(b) OVER () AS nb, coalesce(sum(a) OVER u, 0) AS lost, sum(b) OVER () - coalesce(sum(b) OVER u, 0) AS passed
+wrong AS (SELECT bin, lag(bin) OVER (ORDER BY bin) AS under, sum(a) OVER () AS na, sum(b) OVER () AS nb, coalesce(sum(a) OVER u, 0) AS lost, sum(b) OVER () - coalesce(sum(b) OVER u, 0) AS passed
   FROM bins WINDOW u AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-best AS (SELECT bin FROM wrong WHERE na > 0 AND nb > 0 ORDER BY lost * nb + passed * na, bin LIMIT 1)""")
+best AS (SELECT (bin + coalesce(under + 1, bin)) / 2 / {STEPS} AS cut FROM wrong WHERE na > 0 AND nb > 0 ORDER BY lost * nb + passed * na, bin LIMIT 1)""")
     return "WITH " + ",\n".join(parts) + f"""
-SELECT page_id, host, path, rule, coalesce(known, CASE WHEN score >= coalesce((SELECT bin / {STEPS} FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict, score
+SELECT page_id, host, path, rule, coalesce(known, CASE WHEN score >= coalesce((SELECT cut FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict, score
 FROM ruled JOIN scored USING (r)"""
