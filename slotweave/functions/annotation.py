@@ -149,15 +149,19 @@ def parts_to_annotation(parts: Column) -> Column:
 
 
 def legacy_brackets_to_parts(annotation: Column) -> Column:
-    """Historic reading: every bracket group is substitutable, its kind is the text before `` : ``."""
+    """Historic reading: a bracket group's kind is the text before `` : ``.
+
+    A group without `` : `` is a literal: it masks like a slot, but has no value to count, and its kind is the
+    group itself, which no vocabulary holds.
+    """
     group = r"\[[^\[\]]+\]"
     literals = F.split(annotation, group, -1)
     groups = F.regexp_extract_all(annotation, F.lit(group), 0)
     typed = F.transform(
         groups,
         lambda g: _part(
-            F.coalesce(F.get(F.split(F.btrim(g, F.lit("[] ")), " : "), F.lit(1)), F.btrim(g, F.lit("[] "))),
-            F.get(F.split(F.btrim(g, F.lit("[] ")), " : "), F.lit(0)),
+            F.get(F.split(F.btrim(g, F.lit("[] ")), " : "), F.lit(1)),
+            F.when(F.contains(g, F.lit(" : ")), F.get(F.split(F.btrim(g, F.lit("[] ")), " : "), F.lit(0))).otherwise(g),
         ),
     )
     pieces = F.zip_with(literals, typed, lambda lit, t: F.array(_part(lit, None), t))

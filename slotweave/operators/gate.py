@@ -26,14 +26,14 @@ def rounded_interval(display: Column) -> tuple[Column, Column]:
     """[low, high) of the integers a displayed count may stand for; decimal, half-up."""
     thousands = F.endswith(display, F.lit("K"))
     digits = F.regexp_replace(display, "K$", "")
-    number = digits.cast("decimal(20,6)")
+    number = digits.cast("decimal(38,12)")
     decimals = F.when(F.contains(digits, F.lit(".")), F.char_length(F.split_part(digits, F.lit("."), F.lit(2)))).otherwise(0)
-    # Half a displayed unit in thousands: 500 for no decimals, 50 for one, 5 for two.
-    half = F.element_at(F.array(F.lit(500), F.lit(50), F.lit(5)), decimals + 1)
-    centre = (number * 1000).cast("bigint")
+    # Half a displayed unit in thousands: 500 for no decimals, 50 for one, 5 for two, 0.5 for three, ...
+    half = F.concat(F.lit("500e-"), decimals.cast("string")).cast("double").cast("decimal(20,12)")
+    centre = (number * 1000).cast("decimal(38,12)")
     exact = number.cast("bigint")
-    low = F.when(thousands, centre - half).otherwise(exact)
-    high = F.when(thousands, centre + half).otherwise(exact + 1)
+    low = F.when(thousands, F.ceil(centre - half)).otherwise(exact)
+    high = F.when(thousands, F.ceil(centre + half)).otherwise(exact + 1)
     return low.cast("bigint"), high.cast("bigint")
 
 

@@ -21,10 +21,12 @@ from slotweave.functions import annotation as A
 from slotweave.functions import text as X
 from slotweave.operators.splits import flag_heldout
 from slotweave.operators.vocab import vocabulary_arrays
+from slotweave.session import stage
 from slotweave.sources.ordinals import BUCKET_ROWS
 
 CHUNK = 1024
-# Saturation bound of combination counts; far below the bigint limit so one more product cannot overflow.
+# Strides and capped totals stop here, far below the bigint limit, so one more product cannot overflow. An example
+# with as many combinations is expanded only under a cap; without one it is an error.
 MANY = 2**40
 
 # Generated rows a task should make; the number of tasks follows from the expected output.
@@ -49,7 +51,8 @@ def attach_candidates(examples: DataFrame, vocabulary: DataFrame, small: bool |
 
     A small vocabulary is one map per source and joins in place. A large one is joined by kind: Spark
     picks the join by run-time size, an over-long kind partition is split by adaptive execution, and
-    examples are brought together again by id.
+    rows are brought together again by a number of their own, so both ways give the same rows, repeated ids and rows
+    without slots included.
     """
     arrays = vocabulary_arrays(vocabulary)
     small = is_small(vocabulary) if small is None else small
@@ -59,13 +62,13 @@ def attach_candidates(examples: DataFrame, vocabulary: DataFrame, small: bool |
         empty = F.from_json(F.lit("{}"), "map<string,array<string>>")
         return joined.withColumn("cands", F.coalesce("cands", empty))
     kinds = F.array_distinct(F.filter(F.transform("parts", lambda p: p["kind"]), lambda k: k.isNotNull()))
-    keys = ["source", "ex_id"]
-    rest = [c for c in examples.columns if c not in keys]
-    exploded = examples.select(*keys, F.struct(*rest).alias("_row"), F.explode_outer(kinds).alias("kind"))
-    matched = exploded.join(arrays, ["source", "kind"], "left")
-    entries = F.collect_list(F.when(F.col("vals").isNotNull(), F.struct("kind", "vals")))
-    grouped = matched.groupBy(*keys).agg(F.any_value("_row").alias("_row"), F.map_from_entries(entries).alias("cands"))
-    return grouped.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], "cands")
+    numbered = stage(examples.withColumn("_no", F.monotonically_increasing_id()), "numbered")
+    exploded = numbered.select("_no", "source", F.explode(kinds).alias("kind"))
+    matched = exploded.join(arrays, ["source", "kind"])
+    found = matched.groupBy("_no").agg(F.map_from_entries(F.collect_list(F.struct("kind", "vals"))).alias("cands"))
+    empty = F.from_json(F.lit("{}"), "map<string,array<string>>")
+    joined = numbered.join(found, "_no", "left").withColumn("cands", F.coalesce("cands", empty))
+    return joined.select(*examples.columns, "cands")
 
 
 def _sizes(parts: Column, cands: Column) -> Column:
@@ -83,8 +86,9 @@ def _product(sizes: Column) -> Column:
 
 
 def combination_count(parts: Column, cands: Column) -> Column:
-    """Combinations of one example before any cap, saturating at MANY."""
-    return _product(_sizes(parts, cands))
+    """Combinations of one example before any cap, exactly; more than 38 digits are an error."""
+    kind = "decimal(38,0)"
+    return F.aggregate(_sizes(parts, cands), F.lit(1).cast(kind), lambda a, n: (a * n.cast(kind)).cast(kind))
 
 
 def plan_examples(examples: DataFrame, vocabulary: DataFrame, cap: int | None = None,
@@ -103,7 +107,9 @@ def plan_examples(examples: DataFrame, vocabulary: DataFrame, cap: int | None =
             _product(F.slice("_sizes", i + 2, F.size("_sizes"))).alias("stride"),
         ),
     ).cast(_SLOTS)
-    total = F.col("combinations") if cap is None else F.least(F.col("combinations"), F.lit(cap))
+    too_many = F.raise_error(F.concat(F.lit("too many combinations without a cap: "), F.col("utterance"))).cast("bigint")
+    total = F.when(F.col("combinations") < MANY, F.col("combinations")).otherwise(too_many) if cap is None else F.least(
+        F.col("combinations"), F.lit(cap))
     if unknown_slot == "error":
         missing = F.raise_error(F.concat(F.lit("slot kind without vocabulary in "), F.col("utterance"))).cast("bigint")
         total = F.when(F.col("combinations") == 0, missing).otherwise(total)

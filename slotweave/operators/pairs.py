@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import vectors as V
 from slotweave.operators import tiles
+from slotweave.session import stage
 
 PAIR_BLOCK = 4096
 
@@ -55,26 +56,24 @@ def pair_distances(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFram
 def alignment(df: DataFrame, intents: str = "intents", vec: str = "vec") -> DataFrame:
     """Mean squared distance of the pairs whose intent sets overlap.
 
-    Rows are first summed per intent set. A pair sharing the intents C is then counted through every
-    non-empty subset of C with alternating sign, which adds up to exactly one.
+    Rows are first summed per intent set. Within a set all pairs count; two different sets count together when
+    they share an intent: they meet at each one, and the smallest shared one speaks for them. For sets of
+    n and m rows the distances between them sum to ``m q + n r - 2 s t`` (squares q, r and sums s, t).
     """
     sets = df.select(F.array_sort(F.array_distinct(intents)).alias("_set"), F.col(vec).alias("vec"))
-    per_set = _moments(sets.filter(F.size("_set") > 0), ["_set"], "vec")
-    none = F.array(F.array().cast("array<string>"))
-    subsets = F.aggregate(
-        F.col("_set").cast("array<string>"),
-        none,
-        lambda acc, x: F.concat(acc, F.transform(acc, lambda a: F.concat(a, F.array(x)))),
-    )
-    spread = per_set.select("n", "s", "q", F.explode(F.filter(subsets, lambda a: F.size(a) > 0)).alias("_sub"))
-    per_subset = spread.groupBy("_sub").agg(
-        F.sum("n").alias("n"), _sum_vector(F.col("s")).alias("s"), F.sum("q").alias("q")
-    )
-    sign = F.when(F.size("_sub") % 2 == 1, 1).otherwise(-1)
-    return _with_pair_sums(per_subset).agg(
-        F.sum(sign * F.col("pairs")).alias("same_intent_pairs"),
-        (F.sum(sign * F.col("distance_sum")) / F.sum(sign * F.col("pairs"))).alias("alignment"),
-    )
+    per_set = stage(_moments(sets.filter(F.size("_set") > 0), ["_set"], "vec"), "moments")
+    own = _with_pair_sums(per_set).select("pairs", "distance_sum")
+    spread = per_set.withColumn("_intent", F.explode("_set"))
+    a, b = spread.alias("a"), spread.alias("b")
+    met = a.join(b, F.col("a._intent") == F.col("b._intent")).where(
+        (F.to_json("a._set") < F.to_json("b._set"))
+        & (F.array_min(F.array_intersect("a._set", "b._set")) == F.col("a._intent")))
+    dot = F.aggregate(F.zip_with("a.s", "b.s", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    across = met.select(
+        (F.col("a.n") * F.col("b.n")).cast("bigint").alias("pairs"),
+        (F.col("b.n") * F.col("a.q") + F.col("a.n") * F.col("b.q") - 2 * dot).alias("distance_sum"))
+    return own.unionByName(across).agg(
+        F.sum("pairs").alias("same_intent_pairs"), (F.sum("distance_sum") / F.sum("pairs")).alias("alignment"))
 
 
 def mean_log_potential(df: DataFrame, vec: str = "vec", t: float = 2.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotweave.functions import text as X
-from slotweave.sources.ordinals import number_rows
+from slotweave.sources.ordinals import number_sorted
 
 
 def heldout_keys(df: DataFrame, text: str = "utterance", scope: list[str] | None = None) -> DataFrame:
@@ -149,7 +149,7 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, id_col: str, parts: list[s
 def label_vocabulary(rows: DataFrame, label: str = "intent", out: str = "label_idx") -> DataFrame:
     """Sorted distinct labels with their position."""
     labels = rows.select(label).distinct()
-    return number_rows(labels, [label], [F.substr(label, F.lit(1), F.lit(8))], out=out)
+    return number_sorted(labels, [label], out=out)
 
 
 def label_index(rows: DataFrame, labels: DataFrame, label: str = "intent", unknown: str = "UNK",

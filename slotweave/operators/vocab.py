@@ -31,7 +31,7 @@ def slot_occurrences(examples: DataFrame, count: str = "occurrence") -> DataFram
     """
     if count not in ("occurrence", "per_example"):
         raise ValueError("count must be 'occurrence' or 'per_example'")
-    slots = F.filter("parts", lambda p: p["kind"].isNotNull())
+    slots = F.filter("parts", lambda p: p["kind"].isNotNull() & p["value"].isNotNull())  # a literal bracket has no value
     if count == "per_example":
         slots = F.array_distinct(slots)
     return examples.select("source", F.col("ex_id").alias("ord"), F.posexplode(slots).alias("pos", "p")).select(
@@ -76,6 +76,22 @@ def slot_vocabulary(examples: DataFrame, ks: dict[str, int] | int, count: str =
     return top_values(slot_frequencies(slot_occurrences(examples, count)), ks)
 
 
+def mask_beyond(rows: DataFrame, text: str, keys: list[str], kinds: DataFrame, k: int) -> DataFrame:
+    """Keep the ``k`` most frequent slot tokens of ``kinds(kind, n)``; every other one becomes the placeholder.
+
+    ``keys`` tell rows apart. Only k names are ranked; tokens that ``kinds`` does not know stay as they are.
+    """
+    kept = kinds.orderBy(F.col("n").desc(), "kind").limit(k)
+    others = kinds.join(F.broadcast(kept.select("kind")), "kind", "left_anti").select(
+        F.concat(F.lit("{"), "kind", F.lit("}")).alias("token"))
+    tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\{[^{}]*\}"), 0))
+    found = rows.select(*keys, F.explode(tokens).alias("token")).join(others, "token").groupBy(*keys).agg(
+        F.collect_set("token").alias("_beyond"))
+    none = F.array().cast("array<string>")
+    masked = F.aggregate(F.coalesce("_beyond", none), F.col(text), lambda out, token: F.replace(out, token, F.lit(X.SLOT)))
+    return rows.join(found, keys, "left").withColumn(text, masked).drop("_beyond")
+
+
 def vocabulary_arrays(vocabulary: DataFrame) -> DataFrame:
     """One row per (source, kind) with at most k values in rank order."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "value")))

@@ -11,7 +11,8 @@ from slotweave.plans import corpus
 from slotweave.plans.catalogue.texts import ANN, MASKED, SLOTS, examples
 from slotweave.plans.registry import query
 from slotweave.plans.views import key_sql, oracle
-from slotweave.sources.readers import pair_log_lines
+from slotweave.session import broadcast_if_small, stage
+from slotweave.sources.readers import checked, pair_log_lines
 
 KS = {"ship": 2, "order": 3}
 
@@ -215,7 +216,8 @@ SELECT c.source, c.intent, count(*) AS examples, CAST(sum(CASE c.source WHEN 'sh
               clean_sql() + "," + vocab_sql()))
 def augment_size_estimate(t):
     clean = corpus.staged_training(examples(t))
-    return G.size_estimate(clean, corpus.staged_vocabulary(clean, KS), ["source", "intent"])
+    out = G.size_estimate(clean, corpus.staged_vocabulary(clean, KS), ["source", "intent"])
+    return out.withColumn("combinations", F.col("combinations").cast("bigint"))  # the oracle's type; ANSI casts check it
 
 
 REPORT = """
@@ -242,8 +244,10 @@ def augment_from_log(t):
     """The same corpus replayed from the annotation log."""
     logged = pair_log_lines(t.view("log_lines"))
     ids = corpus.number_examples(t.view("annotated"), "ex_id")
-    joined = logged.join(ids.select("pair", "ex_id", "source", "split"), "pair")
-    replay = joined.select("ex_id", "source", "split", "utterance", A.parse_annotation(F.col("annotation")).alias("parts"))
+    joined = logged.join(ids.select("pair", "ex_id", "source", "split", F.col("utterance").alias("known")), "pair")
+    # Joined by position, so the texts must agree.
+    text = checked(F.col("utterance"), F.col("utterance") == F.col("known"), "log and corpus differ")
+    replay = joined.select("ex_id", "source", "split", text.alias("utterance"), A.parse_annotation(F.col("annotation")).alias("parts"))
     return corpus.augment(replay, KS, scope=["source"]).select("source", "ex_id", "variant", "utterance", "pattern")
 
 
@@ -256,10 +260,9 @@ def augment_legacy_brackets(t):
     of its example is kept."""
     rows = t.view("annotated").withColumn("annotation", F.regexp_replace("annotation", "zone [0-9]+", "[ zone ]"))
     parsed = rows.withColumn("parts", A.legacy_brackets_to_parts(F.col("annotation"))).drop("annotation")
-    keys = corpus.heldout(parsed, ["source"])
+    keys = broadcast_if_small(stage(corpus.heldout(parsed, ["source"]), "heldout"))
     clean = corpus.staged_training(parsed, keys=keys)
-    known = clean.withColumn("parts", F.filter("parts", lambda p: p["kind"] != "zone"))
-    vocabulary = corpus.staged_vocabulary(known, KS)
+    vocabulary = corpus.staged_vocabulary(clean, KS)
     out = S.decontaminate(G.generate(clean, vocabulary, unknown_slot="original_only"), keys, scope=["source"])
     return out.select("source", "ex_id", "variant", X.commas_to_spaces(F.col("utterance")).alias("utterance"),
                       X.commas_to_spaces(F.col("pattern")).alias("pattern"))

@@ -6,6 +6,7 @@ from slotweave.operators import digest as D
 from slotweave.operators import gate as G
 from slotweave.operators import packaging as P
 from slotweave.operators import seeds as Z
+from slotweave.operators import splits as S
 from slotweave.operators import vocab as V
 from slotweave.plans import corpus
 from slotweave.plans.catalogue.generation import EVIDENCE_SQL, KS, evidence, generated_sql
@@ -68,12 +69,14 @@ UNION ALL SELECT coalesce(e.source, a.source), coalesce(e.n = a.n, FALSE), CAST(
   FROM (SELECT source, count(*) AS n FROM generated WHERE NOT held GROUP BY 1) e FULL JOIN (SELECT source, count(*) AS n FROM released GROUP BY 1) a ON a.source = e.source""",
               RELEASED_SQL))
 def check_report(t):
-    """Independent checks over one release, written once and read by each check."""
+    """Independent checks over one release; expected counts come from the generation that made it."""
+    generated, keys = corpus.generation_inputs(examples(t), KS, ["source"])
+    made = stage(S.flag_heldout(generated, keys, scope=["source"]), "generated")
     path = fresh_path(t.spark, "release")
-    W.write_per_source_parquet(released(t), path)
+    W.write_per_source_parquet(stage(P.released_rows(made.where("NOT held").drop("held")), "released"), path)
     rows = W.read_released(t.spark, path)
     u, p = F.col("utterance"), F.col("pattern")
-    expected = corpus.augment(examples(t), KS, ["source"]).groupBy("source").agg(F.count("*").alias("cnt"))
+    expected = made.groupBy("source").agg(F.count_if(~F.col("held")).alias("cnt"))
     checks = G.union_checks([
         G.membership_check(rows, "source", ["ship", "order"], "sources"),
         G.violations_check(rows, G.pair_problem(u, p), "pairs.valid"),
@@ -137,7 +140,7 @@ SELECT 0 AS differing, count(*) AS row_count, count(*) FILTER (source = 'ship')
 def combined_matches(t):
     """The combined table equals its sources in declared order, read back one source at a time."""
     path = fresh_path(t.spark, "release")
-    W.write_per_source_parquet(released(t), path)
+    W.write_per_source_parquet(stage(released(t), "released"), path)
     combined = W.combine_sources(W.read_released(t.spark, path), ["ship", "order"])
     single = None
     for rank, source in enumerate(["ship", "order"]):

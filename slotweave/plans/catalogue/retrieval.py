@@ -98,7 +98,7 @@ TARGETS = [("valid", 12.5), ("test", 10.0), ("other", 50.0)]
 
 @query(oracle(["emb_rows"], """
 SELECT round(avg(acc), 6) AS macro_accuracy, round(avg(CASE WHEN acc IS NOT NULL THEN target END), 6) AS macro_target,
-  bool_and(acc IS NOT NULL) AS all_tasks, bool_and(coalesce(n = expected_total, FALSE)) AS counts_match
+  bool_and(acc IS NOT NULL) AS all_tasks, coalesce(bool_and(n = expected_total), FALSE) AS counts_match
 FROM (VALUES ('valid', 12.5::DOUBLE, 100), ('test', 10.0, 100), ('other', 50.0, 100)) t(task, target, expected_total)
 LEFT JOIN (SELECT split, 100.0 * avg(CASE WHEN intent = ref_intent THEN 1.0 ELSE 0.0 END) AS acc, count(*) AS n
   FROM ranked WHERE rank = 1 GROUP BY split) ON split = task""", RANKED))
@@ -282,23 +282,23 @@ def infonce_total(t):
 
 
 def token_rows(t):
-    """Each vector as 3 layers x 4 tokens x 5 dimensions; the mask keeps the first vec_id % 4 + 1 tokens."""
+    """Each vector, all 64 components, as 4 layers x 4 tokens x 4 dimensions; the mask keeps the first vec_id % 4 + 1 tokens."""
     cells = F.array(*[
-        F.struct(F.lit(layer).alias("layer"), F.lit(pos).alias("pos"), F.slice("embedding", layer * 20 + pos * 5 + 1, 5).alias("vec"))
-        for layer in range(3) for pos in range(4)
+        F.struct(F.lit(layer).alias("layer"), F.lit(pos).alias("pos"), F.slice("embedding", layer * 16 + pos * 4 + 1, 4).alias("vec"))
+        for layer in range(4) for pos in range(4)
     ])
     rows = t.table("embeddings").select(F.col("vec_id").alias("utt_id"), F.explode(cells).alias("c"))
     mask = (F.col("c.pos") <= F.col("utt_id") % 4).cast("int")
     return rows.select("utt_id", "c.layer", "c.pos", mask.alias("mask"), "c.vec")
 
 
-@query("""WITH cells AS (SELECT vec_id AS utt_id, layer, pos, CAST(embedding[layer * 20 + pos * 5 + 1 : layer * 20 + pos * 5 + 5] AS DOUBLE[]) AS vec
-  FROM embeddings, (SELECT unnest(range(3)) AS layer), (SELECT unnest(range(4)) AS pos) WHERE pos <= vec_id % 4),
-means AS (SELECT utt_id, layer, d, avg(vec[d + 1]) AS m FROM (SELECT *, CAST(unnest(range(5)) AS INTEGER) AS d FROM cells) GROUP BY 1, 2, 3),
-layers AS (SELECT utt_id, d, max(CASE layer WHEN 0 THEN m END) AS l0, max(CASE layer WHEN 1 THEN m END) AS l1, max(CASE layer WHEN 2 THEN m END) AS l2 FROM means GROUP BY 1, 2),
-ends AS (SELECT utt_id, arg_min(vec, pos) AS first, arg_max(vec, pos) AS last_real FROM cells WHERE layer = 2 GROUP BY 1)
-SELECT l.utt_id, l.d AS dim, round(first[l.d + 1], 6) AS first, round(last_real[l.d + 1], 6) AS last_real, round(l2, 6) AS mean,
-  round((l0 + l2) / 2, 6) AS mean_first_last, round((l1 + l2) / 2, 6) AS mean_last_two FROM layers l JOIN ends e ON l.utt_id = e.utt_id""")
+@query("""WITH cells AS (SELECT vec_id AS utt_id, layer, pos, CAST(embedding[layer * 16 + pos * 4 + 1 : layer * 16 + pos * 4 + 4] AS DOUBLE[]) AS vec
+  FROM embeddings, (SELECT unnest(range(4)) AS layer), (SELECT unnest(range(4)) AS pos) WHERE pos <= vec_id % 4),
+means AS (SELECT utt_id, layer, d, avg(vec[d + 1]) AS m FROM (SELECT *, CAST(unnest(range(4)) AS INTEGER) AS d FROM cells) GROUP BY 1, 2, 3),
+layers AS (SELECT utt_id, d, max(CASE layer WHEN 0 THEN m END) AS l0, max(CASE layer WHEN 1 THEN m END) AS l1, max(CASE layer WHEN 2 THEN m END) AS l2, max(CASE layer WHEN 3 THEN m END) AS l3 FROM means GROUP BY 1, 2),
+ends AS (SELECT utt_id, arg_min(vec, pos) AS first, arg_max(vec, pos) AS last_real FROM cells WHERE layer = 3 GROUP BY 1)
+SELECT l.utt_id, l.d AS dim, round(first[l.d + 1], 6) AS first, round(last_real[l.d + 1], 6) AS last_real, round(l3, 6) AS mean,
+  round((l0 + l3) / 2, 6) AS mean_first_last, round((l2 + l3) / 2, 6) AS mean_last_two FROM layers l JOIN ends e ON l.utt_id = e.utt_id""")
 def token_pooling(t):
     pooled = O.pool_all(token_rows(t))
     dims = pooled.select("utt_id", F.posexplode(F.arrays_zip(*O.POOLERS)).alias("dim", "p"))

@@ -122,12 +122,23 @@ def scan_fold_csv(t):
     return R.read_fold_csv(t.spark, [f"{path}/trainset", f"{path}/testset"]).drop("ord")
 
 
-@query("SELECT text AS utterance, role AS intent FROM conversations WHERE length(trim(text)) > 0")
+@query("""SELECT text AS utterance, role AS intent, CASE WHEN trim(text) = '' THEN 'empty utterance or intent' END AS problem FROM (
+  SELECT CASE WHEN turn % 7 = 3 THEN ' ' ELSE text END AS text, role FROM conversations)""")
 def scan_intent_csv(t):
+    """Every seventh turn is blanked; the reader says so in its row."""
     path = fresh_path(t.spark, "intents")
-    rows = t.table("conversations").filter(~X.is_blank(F.col("text")))
-    W.write_csv(rows.select("text", F.col("role").alias("category")), path)
-    return R.read_intent_csv(t.spark, path).drop("ord")
+    text = F.when(F.col("turn") % 7 == 3, " ").otherwise(F.col("text"))
+    W.write_csv(t.table("conversations").select(text.alias("text"), F.col("role").alias("category")), path)
+    return R.read_intent_csv(t.spark, path, strict=False).drop("ord")
+
+
+@query(oracle(["annotated"], f"SELECT utterance, {MASKED} AS pattern FROM annotated"))
+def scan_pair_json(t):
+    """JSON lines whose keys are not in alphabetical order; the file's order says which is the utterance."""
+    path = fresh_path(t.spark, "pairs") + ".json"
+    rows = t.view("annotated").select("utterance", X.generic_mask(F.col("annotation")).alias("pattern"))
+    rows.write.json(path)
+    return R.read_pairs(t.spark, path).drop("ord")
 
 
 @query(oracle(["annotated"], f"SELECT trim(utterance) AS utterance, {MASKED} AS pattern FROM annotated"))

@@ -101,12 +101,14 @@ def _lines(df, key, text="text"):
 @query(f"""
 WITH bl AS (SELECT DISTINCT {K_U} AS k FROM (SELECT unnest(string_split(text, chr(10))) AS utterance FROM benchmark) WHERE trim(utterance) <> ''),
 dl AS (SELECT doc_id, {K_U} AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS utterance FROM documents) WHERE trim(utterance) <> '')
-SELECT doc_id, count(*) AS line_count, count(*) FILTER (k IN (SELECT k FROM bl)) AS contaminated FROM dl GROUP BY doc_id""")
+SELECT doc_id, count(k) AS line_count, count(*) FILTER (k IN (SELECT k FROM bl)) AS contaminated FROM documents LEFT JOIN dl USING (doc_id) GROUP BY doc_id""")
 def contaminated_lines(t):
-    """Document lines that equal a benchmark line up to case and spacing."""
+    """Document lines that equal a benchmark line up to case and spacing; blank ones are no lines, but keep their document."""
     keys = S.heldout_keys(_lines(t.table("benchmark"), []))
-    flagged = S.flag_heldout(_lines(t.table("documents"), ["doc_id"]), keys)
-    return flagged.groupBy("doc_id").agg(F.count("*").alias("line_count"), F.count_if("held").alias("contaminated"))
+    lines = t.table("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("utterance"))
+    flagged = S.flag_heldout(lines, keys).withColumn("filled", ~X.is_blank(F.col("utterance")))
+    return flagged.groupBy("doc_id").agg(
+        F.count_if("filled").alias("line_count"), F.count_if(F.col("held") & F.col("filled")).alias("contaminated"))
 
 
 @query(oracle(["doc_rows"], f"""

@@ -151,11 +151,9 @@ def _keep_sql():
 @query(oracle(["annotated"], _keep_sql(), SLOTS + """,
 top AS (SELECT kind FROM (SELECT kind, count(*) AS n FROM slots GROUP BY kind) ORDER BY n DESC, kind LIMIT 2)"""))
 def keep_topk_slots(t):
-    """The slot list is a setting of the training job: a few names, ranked by frequency."""
+    """The two most frequent kinds keep their tokens; the others are masked."""
     kinds = V.slot_occurrences(examples(t)).groupBy("kind").agg(F.count("*").alias("n"))
-    ranked = kinds.orderBy(F.col("n").desc(), "kind").limit(10_000).collect()
-    tokens = ["{" + r["kind"] + "}" for r in ranked]
-    return curly(t).select("ex_id", X.keep_topk_slot_tokens(F.col("template"), tokens, 2).alias("template"))
+    return V.mask_beyond(curly(t), "template", ["source", "ex_id"], kinds, 2).select("ex_id", "template")
 
 
 @query(oracle(["annotated"], f"""

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotweave.session import stage
+
 BUCKET_ROWS = 65_536
 
 
@@ -59,6 +61,20 @@ def number_rows(df: DataFrame, order: list[str], buckets: list[Column], parts: l
     )
 
 
+def number_sorted(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
+    """Dense 0-based numbers of a whole table in ``order``, whatever its values look like.
+
+    Rows are sorted into ranges and written with their place; only the table of range sizes is summed up.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
+    placed = stage(placed, "sorted").withColumn("_range", F.shiftright("_mid", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    number = (F.col("_mid") - F.col("_first") + F.col("_before")).cast("bigint")
+    return placed.join(offsets, "_range").select(*df.columns, number.alias(out))
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer tasks than the session has cores; larger scans stay as they are.
 

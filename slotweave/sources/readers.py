@@ -130,9 +130,12 @@ def read_semicolon_csv(spark: SparkSession, path, multiline: bool = True) -> Dat
     )
 
 
-def read_fold_csv(spark: SparkSession, path) -> DataFrame:
-    """Per-category fold files; the split comes from the folder, the label is scenario_intent."""
-    raw = spark.read.csv(path, sep=";", header=True, quote='"', escape='"', multiLine=True)
+def read_fold_csv(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
+    """Per-category fold files; the split comes from the folder, the label is scenario_intent.
+
+    ``multiline=False`` lets large files without embedded line breaks be split over tasks, here and below.
+    """
+    raw = spark.read.csv(path, sep=";", header=True, quote='"', escape='"', multiLine=multiline)
     rows = scan_order(raw)
     in_train = F.contains(F.col("file"), F.lit("/trainset/"))
     return rows.select(
@@ -147,45 +150,60 @@ def _dialect(names: list[str], dialects: list[tuple[str, ...]]) -> tuple[str, ..
     return next((d for d in dialects if set(d) <= set(names)), None)
 
 
-def _csv(spark: SparkSession, path, sep: str) -> DataFrame:
+def _csv(spark: SparkSession, path, sep: str, multiline: bool = True) -> DataFrame:
     df = spark.read.csv(
-        path, sep=sep, header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", encoding="UTF-8",
+        path, sep=sep, header=True, quote='"', escape='"', multiLine=multiline, mode="FAILFAST", encoding="UTF-8",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
 
 
-def read_intent_csv(spark: SparkSession, path) -> DataFrame:
-    """``text,category`` or ``utterance,intent``; empty fields stop the job."""
-    rows = scan_order(_csv(spark, path, ","))
+def read_intent_csv(spark: SparkSession, path, multiline: bool = True, strict: bool = True) -> DataFrame:
+    """``text,category`` or ``utterance,intent``; empty fields stop the job, or are told in ``problem`` if not ``strict``."""
+    rows = scan_order(_csv(spark, path, ",", multiline))
     dialect = _dialect(rows.columns, [("text", "category"), ("utterance", "intent")])
     if dialect is None:
         raise ValueError(f"expected text,category or utterance,intent columns in {path}")
     u, i = (F.col(c) for c in dialect)
     ok = ~X.is_blank(u) & ~X.is_blank(i)
+    if not strict:
+        return rows.select("ord", u.alias("utterance"), i.alias("intent"), F.when(~ok, "empty utterance or intent").alias("problem"))
     return rows.select("ord", checked(u, ok, "empty utterance or intent").alias("utterance"), i.alias("intent"))
 
 
-def read_pair_csv(spark: SparkSession, path, first: int | None = None) -> DataFrame:
-    """``utterance,pattern`` or ``utt,ptn``; values stripped, empties refused, optional first rows."""
-    rows = scan_order(_csv(spark, path, ","))
+def read_pair_csv(spark: SparkSession, path, first: int | None = None, multiline: bool = True, at_least: int = 2) -> DataFrame:
+    """``utterance,pattern`` or ``utt,ptn``; values stripped, empties refused, optional first rows.
+
+    Contrastive training needs two rows, so fewer than ``at_least`` stop the job.
+    """
+    rows = scan_order(_csv(spark, path, ",", multiline))
     dialect = _dialect(rows.columns, [("utterance", "pattern"), ("utt", "ptn")])
     if dialect is None:
         raise ValueError(f"expected utterance,pattern or utt,ptn columns in {path}")
     u, p = (F.col(c) for c in dialect)
     ok = ~X.is_blank(u) & ~X.is_blank(p)
-    out = rows.select("ord", checked(X.strip(u), ok, "empty utterance or pattern").alias("utterance"), X.strip(p).alias("pattern"))
+    enough = rows.agg(F.count("*")).scalar() >= at_least
+    text = checked(checked(X.strip(u), enough, "too few rows"), ok, "empty utterance or pattern")
+    out = rows.select("ord", text.alias("utterance"), X.strip(p).alias("pattern"))
     return out if first is None else out.orderBy("ord").limit(first)
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Choose the format by the file name; the first two columns are utterance and pattern."""
+def _json_names(spark: SparkSession, path: str) -> list[str]:
+    """Keys of the first object in the order they are written; inference sorts them by name."""
+    first = spark.read.text(path).where(~X.is_blank(F.col("value"))).select(F.json_object_keys("value").alias("names")).first()
+    return first["names"] if first and first["names"] else []
+
+
+def read_pairs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Choose the format by the file name; the first two columns, as the file has them, are utterance and pattern."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     extension = name.rsplit(".", 1)[-1]
     if extension == "csv":
-        df = _csv(spark, path, "\t" if "tsv" in name else ",")
+        df = _csv(spark, path, "\t" if "tsv" in name else ",", multiline)
     elif extension == "json":
-        df = spark.read.option("mode", "FAILFAST").json(path)
+        keys = _json_names(spark, path)
+        schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     elif extension == "txt":
         df = spark.read.text(path)
     else:
@@ -296,8 +314,12 @@ def read_slot_list(spark: SparkSession, path) -> DataFrame:
 def read_evidence_jsonl(spark: SparkSession, path) -> DataFrame:
     """Evidence rows with a ``valid`` flag from deep validation; ``line`` names the offender."""
     schema = "utterance string, template string, slots array<struct<type:string,value:string>>, _bad string"
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
-    rows = scan_order(raw)
+    # Lines are numbered as text, so a blank one is counted, and is no row of evidence either.
+    lines = scan_order(spark.read.text(path))
+    row = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select("ord", F.coalesce(F.col("value"), F.lit("")).alias("value")).withColumn("row", row).select(
+        "ord", "row.utterance", "row.template", "row.slots",
+        F.when(F.col("row").isNull() | X.is_blank(F.col("value")), F.lit("blank")).otherwise(F.col("row._bad")).alias("_bad"))
     slots_ok = F.coalesce(
         F.forall("slots", lambda s: s.isNotNull() & ~X.is_blank(s["type"]) & ~X.is_blank(s["value"])), F.lit(False)
     )

@@ -2,18 +2,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from slotweave.plans.registry import catalogue
 from slotweave.plans.views import TABLES
 from slotweave.streaming import incremental as I
 
 # Queries whose result SQL cannot state; other tests bound them.
 NO_ORACLE = {"ivf_recall", "linear_probe", "pca_table", "encode_hash", "encoded_text_nn"}
 
-SAMPLE = [
-    "parse_annotation_slots", "spans_to_pattern", "text_keys", "pad_truncate_ids", "heldout_clean_pooled", "cascade_clean",
-    "contaminated_lines", "split_audit", "scan_part_json", "scan_annotation_log", "tag_spans", "topk_vocab", "augment_cartesian",
-    "topk_sweep", "nn1_metrics", "topk_vote", "align_intent_sets", "infonce_losses", "package_round_trip", "content_digest",
-    "delta_summary",
-]
+NAMES = sorted(name for name, q in catalogue().items() if q.sql is not None)
 
 
 @pytest.fixture(scope="module")
@@ -32,14 +28,14 @@ def canonical(columns, rows):
 
 def test_every_query_is_registered():
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert len(queries) > 100 and set(queries) - set(oracles) == NO_ORACLE
+    assert set(catalogue()) <= set(queries) and set(catalogue()) - set(oracles) == NO_ORACLE
 
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 8
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_oracle(spark, sf_dir, oracle_db, name):
     df = entry.queries()[name](spark, sf_dir)
     rel = oracle_db.sql(entry.oracle_sql()[name])
