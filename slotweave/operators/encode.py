@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,10 +66,14 @@ def pad_to_batch(df: DataFrame, batch: str = "batch", ids: str = "input_ids") ->
 
 
 def encode_hashed(df: DataFrame, text: str = "text", dims: int = 256, out: str = "vec", unit: bool = True) -> DataFrame:
-    """Built-in deterministic encoder: hashed token counts, optionally of unit length."""
-    counted = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf").transform(
-        df.withColumn("_words", words(X.casefold(F.col(text))))
-    )
+    """Built-in deterministic encoder: counts of hashed tokens, optionally of unit length.
+
+    A token's bucket is the number its MD5 starts with, so any SQL engine can repeat it.
+    """
+    bucket = lambda w: (F.conv(F.substr(F.md5(w), F.lit(1), F.lit(8)), 16, 10).cast("bigint") % dims).cast("string")
+    buckets = F.transform(words(X.casefold(F.coalesce(F.col(text), F.lit("")))), bucket)
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], inputCol="_words", outputCol="_tf")
+    counted = counter.transform(df.withColumn("_words", buckets))
     source = "_tf"
     if unit:
         counted = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)

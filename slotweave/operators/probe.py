@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.functions import vectors as V
+from slotweave.session import stage
 
 
 def linear_probe(train: DataFrame, queries: DataFrame, label: str = "intent", vec: str = "vec", iterations: int = 50,
@@ -18,6 +19,7 @@ def linear_probe(train: DataFrame, queries: DataFrame, label: str = "intent", ve
     def features(df):
         return df.withColumn("_f", array_to_vector(V.as_double(F.col(vec))))
 
+    train = stage(train.select(label, vec), "probe")  # every iteration reads it
     labels = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
     model = LogisticRegression(
         featuresCol="_f", labelCol="_y", predictionCol="_p", family="multinomial", maxIter=iterations, regParam=regularisation

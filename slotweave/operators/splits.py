@@ -73,6 +73,23 @@ def cascade(rows: DataFrame, parts: list[str] | None = None, text: str = "uttera
     return keyed.join(seen, [*parts, "key"], "left").select(*rows.columns, excluded.alias("excluded"))
 
 
+def cascade_counts(rows: DataFrame, parts: list[str] | None = None, text: str = "utterance") -> DataFrame:
+    """Rows and excluded rows per part and split under ``cascade``, from one grouping by key instead of a join."""
+    parts = parts or []
+    by_key = X.with_match_key(rows, text).groupBy(*parts, "key").agg(
+        *[_split_count(s).alias(s) for s in ("train", "valid")],
+        F.count_if(~F.coalesce(F.col("split").isin("train", "valid"), F.lit(False))).alias("test"))
+    zero = F.lit(0).cast("bigint")
+    cells = F.array(
+        F.struct(F.lit("train").alias("split"), F.col("train").alias("n"), zero.alias("out")),
+        F.struct(F.lit("valid").alias("split"), F.col("valid").alias("n"), F.when(F.col("train") > 0, F.col("valid")).otherwise(zero).alias("out")),
+        F.struct(F.lit("test").alias("split"), F.col("test").alias("n"),
+                 F.when(F.col("train") + F.col("valid") > 0, F.col("test")).otherwise(zero).alias("out")),
+    )
+    split = by_key.select(*parts, F.inline(cells)).where("n > 0")
+    return split.groupBy(*parts, "split").agg(F.sum("n").alias("row_count"), F.sum("out").alias("excluded"))
+
+
 def flag_training_overlap(rows: DataFrame, training: DataFrame, text: str = "utterance",
                           scope: list[str] | None = None) -> DataFrame:
     """Flag valid/test rows whose key occurs in the actual training texts; train rows never are."""

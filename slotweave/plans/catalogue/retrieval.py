@@ -14,7 +14,8 @@ from slotweave.operators import search as R
 from slotweave.plans import evaluation as ev
 from slotweave.plans.catalogue.texts import MASKED
 from slotweave.plans.registry import query
-from slotweave.plans.views import oracle
+from slotweave.plans.views import key_sql, oracle
+from slotweave.session import stage
 
 
 def r6(column):
@@ -342,40 +343,73 @@ def top_intents(t):
     return B.top_intents(t.view("annotated").select("utterance", "intent"), 5)
 
 
-# ---------------------------------------------------------------- no SQL equivalent; own tests assert bounds
+# ---------------------------------------------------------------- learned or approximate; held against exact quantities
 
-@query()
+@query(oracle(["emb_rows"], """
+SELECT count(*) AS expected, count(*) AS found, 1.0::DOUBLE AS recall FROM ranked WHERE rank <= 5""", RANKED))
 def ivf_recall(t):
+    """With every cell probed the inverted file must find what exact search finds; tests bound it with fewer."""
     rows = t.view("emb_rows")
     q, refs = ev.queries(rows), ev.references(rows)
     exact = R.top_matches(q, refs, k=5)
-    approx = R.cell_matches(q, refs, k=5, cells=20, probes=5)
-    return R.recall(approx, exact)
+    return R.recall(R.cell_matches(q, refs, k=5, cells=20, probes=20), exact)
+
+
+@query(oracle(["emb_rows"], "SELECT qid, ref_idx, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM ranked WHERE rank <= 5", RANKED))
+def ivf_matches(t):
+    """The same search, row by row."""
+    rows = t.view("emb_rows")
+    found = R.cell_matches(ev.queries(rows), ev.references(rows), k=5, cells=20, probes=20)
+    return found.select("qid", "ref_idx", "rank", r6(F.col("score")).alias("score"))
 
 
-@query()
+@query(oracle(["emb_rows"], "SELECT split, 1.0::DOUBLE AS accuracy, count(*) AS total FROM emb_rows WHERE split <> 'train' GROUP BY split"))
 def linear_probe(t):
+    """Vectors with their label's own component raised are linearly separable: every prediction must be right."""
     rows = t.view("emb_rows")
-    scored = B.linear_probe(ev.references(rows), ev.queries(rows), iterations=20)
+    raised = F.transform(F.col("vec").cast("array<double>"), lambda x, i: x + F.when(i == F.col("intent").cast("int"), 25.0).otherwise(0.0))
+    rows = rows.withColumn("vec", raised)
+    scored = B.linear_probe(ev.references(rows), ev.queries(rows), iterations=50)
     return M.accuracy(scored, ["split"], predicted="predicted")
 
 
-@query()
+@query(oracle(["emb_rows"], """
+SELECT label, count(*) AS points, TRUE AS inside FROM (
+  SELECT '0:Pattern' AS label FROM meta m WHERE m.intent IN (SELECT intent FROM top) AND contains(m.pattern, '}')
+  UNION ALL SELECT '1:Utterance' FROM meta m WHERE m.intent IN (SELECT intent FROM top) AND contains(m.pattern, '}')) GROUP BY 1""", META + """,
+top AS (SELECT intent FROM meta GROUP BY intent ORDER BY count(DISTINCT utterance) DESC, intent LIMIT 3)"""))
 def pca_table(t):
+    """Points per label; a projection of unit vectors stays inside the unit circle."""
     vectors, meta = plot_inputs(t)
-    return B.plot_points(B.stacked_view(B.plot_rows(vectors, meta, 3)))
+    points = B.plot_points(B.stacked_view(B.plot_rows(vectors, meta, 3)))
+    inside = F.bool_and(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1.000001)
+    return points.groupBy("label").agg(F.count("*").alias("points"), inside.alias("inside"))
+
+
+BUCKETED = """
+hashed AS (SELECT {id}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 128 AS b, count(*) AS n FROM (
+  SELECT {id}, unnest(string_split(k, ' ')) AS w FROM (SELECT {id}, {key} AS k FROM {table}) WHERE k <> '') GROUP BY 1, 2)"""
 
 
-@query()
+@query("WITH " + BUCKETED.format(id="doc_id", key=key_sql("text"), table="documents").strip() + """
+SELECT d.doc_id, CASE WHEN count(b) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS unit_norm, CAST(count(b) AS INTEGER) AS active,
+  coalesce(round(max(n) / sqrt(sum(n * n)), 6), 0) AS largest
+FROM documents d LEFT JOIN hashed USING (doc_id) GROUP BY d.doc_id""")
 def encode_hash(t):
     encoded = E.encode_hashed(t.table("documents"), dims=128)
-    return encoded.select("doc_id", r6(V.norm(F.col("vec"))).alias("unit_norm"), F.size(F.filter("vec", lambda x: x > 0)).alias("active"))
+    return encoded.select("doc_id", r6(V.norm(F.col("vec"))).alias("unit_norm"), F.size(F.filter("vec", lambda x: x > 0)).alias("active"),
+                          r6(F.array_max("vec")).alias("largest"))
 
 
-@query()
+@query(oracle(["turns"], """
+SELECT qid, round(max(s), 6) AS score FROM (
+  SELECT q.idx AS qid, r.idx AS rid, coalesce(sum(a.n * b.n) / (any_value(q.len) * any_value(r.len)), 0) AS s FROM lens q JOIN hashed a USING (idx)
+  JOIN hashed b USING (b) JOIN lens r ON r.idx = b.idx WHERE q.intent <> 'assistant' AND r.intent = 'assistant' GROUP BY 1, 2)
+GROUP BY 1""", BUCKETED.format(id="idx", key=key_sql("utterance"), table="turns") + """,
+lens AS (SELECT t.idx, t.intent, sqrt(sum(n * n)) AS len FROM turns t JOIN hashed USING (idx) GROUP BY 1, 2)"""))
 def encoded_text_nn(t):
-    """Conversation turns encoded and matched: user turns against assistant turns."""
+    """Conversation turns encoded and matched: user turns against assistant turns; the best score of each."""
     turns = E.encode_hashed(t.view("turns").select("idx", "intent", "utterance"), text="utterance", dims=128)
     refs = turns.filter(F.col("intent") == "assistant").select("idx", "intent", "vec")
     q = turns.filter(F.col("intent") != "assistant").select(F.col("idx").alias("qid"), "intent", "vec")
-    return R.nearest(q, refs).select("qid", "ref_idx", r6(F.col("score")).alias("score"))
+    return R.nearest(stage(q, "queries"), stage(refs, "references")).select("qid", r6(F.col("score")).alias("score"))

@@ -306,18 +306,21 @@ def flat_csv_lines(t):
     return t.spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("SELECT item_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes, FALSE AS changed FROM benchmark")
+@query("SELECT item_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS bytes, item_id % 10 = 0 AS changed FROM benchmark")
 def file_checksums(t):
-    """Every benchmark item as a file of its own, hashed before and after use."""
-    path = fresh_path(t.spark, "files")
-    items = t.table("benchmark")
-    items.select("text", "item_id").write.partitionBy("item_id").option("lineSep", "\u0000").text(path)
-    before = D.file_checksums(t.spark, f"{path}/*/*.txt")
-    raw = t.spark.read.format("binaryFile").load(f"{path}/*/*.txt")
-    sums = D.changed_files(before, D.file_checksums(t.spark, f"{path}/*/*.txt")).select("path", F.lit(True).alias("hit"))
-    item = F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("bigint")
+    """Every benchmark item as a file of its own, hashed before and after every tenth one was changed."""
+    items = t.table("benchmark").select("text", "item_id")
+    edited = items.withColumn("text", F.when(F.col("item_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    item = F.regexp_extract("path", "item_id=([0-9]+)", 1)
+    sums, path = [], None
+    for rows in (edited, items):
+        path = fresh_path(t.spark, "files")
+        rows.write.partitionBy("item_id").option("lineSep", "\u0000").text(path)
+        sums.append(D.file_checksums(t.spark, f"{path}/*/*.txt").withColumn("path", item))
+    raw = t.spark.read.format("binaryFile").load(f"{path}/*/*.txt").withColumn("path", item)
+    hit = D.changed_files(sums[1], sums[0]).select("path", F.lit(True).alias("hit"))
     content = F.rtrim(F.col("content").cast("string"), F.lit("\u0000"))
-    return raw.join(sums, "path", "left").select(
-        item.alias("item_id"), F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("bigint").alias("bytes"),
+    return raw.join(hit, "path", "left").select(
+        F.col("path").cast("bigint").alias("item_id"), F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("bigint").alias("bytes"),
         F.coalesce("hit", F.lit(False)).alias("changed"),
     )

@@ -87,9 +87,7 @@ def cascade_clean(t):
 @query(oracle(["doc_rows"], """
 SELECT task, split, count(*) AS row_count, count(*) FILTER (excluded) AS excluded FROM flagged GROUP BY 1, 2""", CASCADE))
 def cascade_counts(t):
-    return S.cascade(t.view("doc_rows"), ["task"]).groupBy("task", "split").agg(
-        F.count("*").alias("row_count"), F.count_if("excluded").alias("excluded")
-    )
+    return S.cascade_counts(t.view("doc_rows"), ["task"])
 
 
 def _lines(df, key, text="text"):
