@@ -63,6 +63,7 @@ class PieceCodec:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.unknown = re.compile(f"[^{''.join(map(re.escape, sorted(p for p in self.ids if len(p) == 1)))}]")
+        self.written = {piece: str(i) for piece, i in self.ids.items()}
         self._prefix: dict[str, str | None] = {}
         self._halves: dict[str, tuple[str, str] | None] = {}
         self._fits: dict[tuple[str, str], bool] = {}
@@ -125,7 +126,7 @@ class PieceCodec:
         for start, piece in self.automaton.iter(text):
             longest[start - len(piece) + 1] = piece  # ends ascend, so the last one is the longest
         failed = bytearray(size + 1)
-        fits, out = self._fits, []
+        fits, prefix, out = self._fits, self._prefix, []
         at, piece, last = 0, longest[0], ""
         while at < size:
             while piece is not None:
@@ -137,7 +138,7 @@ class PieceCodec:
                         fit = fits[last, piece] = self.fits(last, piece)
                     if fit:
                         break
-                piece = self.shorter(piece)
+                piece = prefix[piece] if piece in prefix else self.shorter(piece)
             if piece is not None:
                 out.append(piece)
                 at += len(piece)
@@ -233,8 +234,14 @@ class _Memo(dict):
     def __missing__(self, chunk: str) -> tuple[int, str, str]:
         known = self.older.get(chunk)
         if known is None:
-            ids = self.model.chunk(chunk)
-            known = len(ids), ",".join(map(str, ids)), self.model.decode(ids, start=False)
+            model = self.model
+            if chunk[1:2] != SPACE and not model.unknown.search(chunk):  # one space and known characters: pieces only
+                pieces = model._known(chunk)
+                written = model.written
+                known = len(pieces), ",".join([written[p] for p in pieces]), "".join(pieces).replace(SPACE, " ")
+            else:
+                ids = model.chunk(chunk)
+                known = len(ids), ",".join(map(str, ids)), model.decode(ids, start=False)
         if len(chunk) <= MEMO_CHARS:
             if len(self) >= MEMO_CHUNKS:
                 self.older = dict(self)
