@@ -25,7 +25,7 @@ from slotweave.session import broadcast_if_small, stage
 WINDOW = 7
 SMALLEST, CHUNKS = 3, 64
 COMMON = 4  # signs in a row that two signatures share, or a third of the shorter one; else they are unlike
-BLOCK_IDS = 4096  # ids that are ordered by one task at a time
+BLOCK_IDS = 512  # ids that are ordered by one task at a time
 BYTES_AT_ONCE = 1 << 20
 
 # The signs of a signature.
