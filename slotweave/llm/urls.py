@@ -1,11 +1,12 @@
 """URL filter: rules first, then the likelihood ratio of two character language models.
 
 URLs that a rule accepts or rejects train one variable-order Markov model each: a character is predicted from up to
-four before it, every order smoothed with the next lower one by the number of characters seen to follow
+three before it, every order smoothed with the next lower one by the number of characters seen to follow
 (Witten-Bell). The score is the difference of log-likelihoods per character; the threshold is the one that separates
 accepted and rejected URLs of a calibration fold best. All of it is DataFrame expressions: a URL is cut into
 character n-grams, counts are aggregated before they are shuffled, and the ratio of an n-gram is looked up in a
-table of the n-grams met, sent to the tasks only when measured small.
+table of the n-grams met. Digits count as one character and rare characters as another, so there are 34 in all and at
+most 34^4 n-grams, whatever the corpus: the table has a bound under which it is always sent to the tasks.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from slotweave.session import broadcast_if_small, stage
 
-ORDER = 5
+ORDER = 4
 FOLD = 5  # one in so many ids calibrates instead of training
 STEPS = 100  # threshold steps per unit of the score
-SIGNS = 44  # characters left after folding, with start and end
+SIGNS = 34  # characters left after folding: letters, a digit, / . _ - *, start and end
 
 # (host, path, verdict); a rule holds for its host and all subdomains.
 RULES = [
@@ -30,6 +31,7 @@ RULES = [
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_DIGITS, _DIGIT = "123456789", "000000000"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,9 +53,9 @@ def matching_rule(host: Column, path: Column, rules=None) -> Column:
 
 
 def letters(host: Column, path: Column) -> Column:
-    """The text the models read: host and path in lower case, rare characters folded to one, start and end marked."""
-    low = F.translate(F.concat(host, path), _UPPER, _LOWER)
-    return F.concat(F.lit("^" * (ORDER - 1)), F.regexp_replace(low, r"[^a-z0-9/._\-]", "*"), F.lit("$"))
+    """The text the models read: host and path in lower case, digits and rare characters folded, start and end marked."""
+    low = F.translate(F.concat(host, path), _UPPER + _DIGITS, _LOWER + _DIGIT)
+    return F.concat(F.lit("^" * (ORDER - 1)), F.regexp_replace(low, r"[^a-z0/._\-]", "*"), F.lit("$"))
 
 
 def _grams(rows: DataFrame, *keep: str) -> DataFrame:
@@ -132,10 +134,11 @@ def oracle() -> str:
     rule = "CASE " + " ".join(f"{w}'{h}{p}'" for w, (h, p, _) in zip(fits, rules)) + " END"
     known = "CASE " + " ".join(f"{w}'{v}'" for w, (_, _, v) in zip(fits, rules)) + " END"
     lower = f"translate({{0}}, '{_UPPER}', '{_LOWER}')"
+    fold = f"translate(host || path, '{_UPPER}{_DIGITS}', '{_LOWER}{_DIGIT}')"
     parts = [f"""rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 cut AS (SELECT page_id, {lower.format("regexp_extract(rest, '^[^/?#]*', 0)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 ruled AS (SELECT row_number() OVER () AS r, *, {rule} AS rule, {known} AS known,
-  '{"^" * (ORDER - 1)}' || regexp_replace({lower.format("host || path")}, '[^a-z0-9/._-]', '*', 'g') || '$' AS letters FROM cut),
+  '{"^" * (ORDER - 1)}' || regexp_replace({fold}, '[^a-z0/._-]', '*', 'g') || '$' AS letters FROM cut),
 grams AS (SELECT r, coalesce(page_id % {FOLD} = 0, false) AS c, known, substr(letters, place, {ORDER}) AS gram
   FROM (SELECT r, page_id, known, letters, unnest(range(1, length(letters) - {ORDER - 2})) AS place FROM ruled)),
 counts AS (SELECT gram, count(*) FILTER (known = 'allow' AND NOT c) AS a, count(*) FILTER (known = 'block' AND NOT c) AS b FROM grams GROUP BY gram)"""]
