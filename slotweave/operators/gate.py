@@ -106,6 +106,13 @@ def violations_check(df: DataFrame, problem: Column, name: str) -> DataFrame:
     return check_rows(bad, F.lit(name), F.col("bad") == 0, F.col("bad"), F.lit("0"))
 
 
+def declared_inputs(loaded: DataFrame, declared: DataFrame) -> DataFrame:
+    """One check per loaded file (path, sha256): it is declared, with the same checksum."""
+    known = declared.select("path", F.col("sha256").alias("declared"))
+    joined = loaded.join(known, "path", "left")
+    return check_rows(joined, F.col("path"), F.col("sha256") == F.col("declared"), F.col("sha256"), F.coalesce("declared", F.lit("undeclared")))
+
+
 def union_checks(checks: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), checks)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from slotweave.functions import annotation as A
@@ -22,7 +22,7 @@ from slotweave.functions import text as X
 from slotweave.operators.splits import flag_heldout
 from slotweave.operators.vocab import vocabulary_arrays
 from slotweave.session import stage
-from slotweave.sources.ordinals import BUCKET_ROWS
+from slotweave.sources.ordinals import number_sorted
 
 CHUNK = 1024
 # Strides and capped totals stop here, far below the bigint limit, so one more product cannot overflow. An example
@@ -373,6 +373,32 @@ def generation_report(generated: DataFrame, keys: DataFrame, scope: list[str] |
     )
 
 
+def manifest(flagged: DataFrame, keys: DataFrame, vocabulary: DataFrame, ks: dict[str, int], cap: int | None = None,
+             scope: list[str] | None = None) -> DataFrame:
+    """Provenance per declared source, from a generation with its ``held`` flag (``flag_heldout``).
+
+    status, top_k, cap, train examples, output, removed and truncated counts, held-out keys, vocabulary values and
+    a digest of the vocabulary. A source that gave no rows is there as missing.
+    """
+    spark = flagged.sparkSession
+    settings = spark.createDataFrame([(s, k, cap) for s, k in ks.items()], "source string, top_k int, cap int")
+    counts = flagged.groupBy("source").agg(
+        F.count_if(F.col("variant") == 0).alias("train_examples"), F.count_if(~F.col("held")).alias("output_rows"),
+        F.count_if(F.col("held")).alias("removed_rows"),
+        F.count_if((F.col("variant") == 0) & F.col("truncated")).alias("truncated_examples"))
+    per_kind = vocabulary.groupBy("source", "kind").agg(
+        F.count("*").alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("rank", "value")))), 256).alias("h"))  # k values
+    words = per_kind.groupBy("source").agg(
+        F.sum("n").alias("vocabulary_values"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("kind", "h")))), 256).alias("vocabulary_sha256"))
+    scoped = "source" in (scope or [])
+    held = keys.groupBy("source").agg(F.count("*").alias("heldout_keys")) if scoped else keys.agg(F.count("*").alias("heldout_keys"))
+    out = settings.join(counts, "source", "left").join(words, "source", "left")
+    out = out.join(held, "source", "left") if scoped else out.withColumn("heldout_keys", held.scalar())
+    numbers = ["train_examples", "output_rows", "removed_rows", "truncated_examples", "heldout_keys", "vocabulary_values"]
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in numbers})
+    return out.withColumn("status", F.when(F.col("output_rows") > 0, "prepared").otherwise("missing"))
+
+
 def observed_output(generated: DataFrame, keys: DataFrame, sources: list[str],
                     scope: list[str] | None = None) -> tuple[DataFrame, Observation]:
     """The output plus its report as an observation: both come out of the same write."""
@@ -391,30 +417,5 @@ def observed_output(generated: DataFrame, keys: DataFrame, sources: list[str],
 
 
 def number_source_rows(rows: DataFrame, out: str = "source_row") -> DataFrame:
-    """0-based row numbers per source in (ex_id, variant) order.
-
-    Ranks are taken inside blocks of one example's variants; block sizes are summed within examples,
-    example sizes within id ranges, and id ranges within the source.
-    """
-    block = X.int_div(F.col("variant"), F.lit(BUCKET_ROWS))
-    tagged = rows.withColumn("_vb", block)
-    keys = ["source", "ex_id", "_vb"]
-    before = Window.unboundedPreceding
-    sizes = tagged.groupBy(*keys).agg(F.count("*").alias("_n"))
-    in_example = F.sum("_n").over(Window.partitionBy("source", "ex_id").orderBy("_vb").rowsBetween(before, -1))
-    blocks = sizes.withColumn("_in_example", F.coalesce(in_example, F.lit(0)))
-    examples = sizes.groupBy("source", "ex_id").agg(F.sum("_n").alias("_n")).withColumn(
-        "_range", X.int_div(F.col("ex_id"), F.lit(BUCKET_ROWS))
-    )
-    in_range = F.sum("_n").over(Window.partitionBy("source", "_range").orderBy("ex_id").rowsBetween(before, -1))
-    ranges = examples.groupBy("source", "_range").agg(F.sum("_n").alias("_n"))
-    in_source = F.sum("_n").over(Window.partitionBy("source").orderBy("_range").rowsBetween(before, -1))
-    starts = (
-        examples.withColumn("_in_range", F.coalesce(in_range, F.lit(0)))
-        .join(ranges.select("source", "_range", F.coalesce(in_source, F.lit(0)).alias("_in_source")), ["source", "_range"])
-        .select("source", "ex_id", (F.col("_in_range") + F.col("_in_source")).alias("_start"))
-    )
-    offsets = blocks.join(starts, ["source", "ex_id"]).select(*keys, (F.col("_start") + F.col("_in_example")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("variant")) - 1
-    ranked = tagged.withColumn("_pos", inside)
-    return ranked.join(offsets, keys).select(*rows.columns, (F.col("_before") + F.col("_pos")).cast("bigint").alias(out))
+    """0-based row numbers per source in (ex_id, variant) order. ``rows`` should be a written table: sorting samples it."""
+    return number_sorted(rows, ["ex_id", "variant"], ["source"], out)

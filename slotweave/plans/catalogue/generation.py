@@ -12,7 +12,7 @@ from slotweave.plans.catalogue.texts import ANN, MASKED, SLOTS, examples
 from slotweave.plans.registry import query
 from slotweave.plans.views import key_sql, oracle
 from slotweave.session import broadcast_if_small, stage
-from slotweave.sources.readers import checked, pair_log_lines
+from slotweave.sources.readers import pair_by_position, pair_log_lines
 
 KS = {"ship": 2, "order": 3}
 
@@ -244,10 +244,8 @@ def augment_from_log(t):
     """The same corpus replayed from the annotation log."""
     logged = pair_log_lines(t.view("log_lines"))
     ids = corpus.number_examples(t.view("annotated"), "ex_id")
-    joined = logged.join(ids.select("pair", "ex_id", "source", "split", F.col("utterance").alias("known")), "pair")
-    # Joined by position, so the texts must agree.
-    text = checked(F.col("utterance"), F.col("utterance") == F.col("known"), "log and corpus differ")
-    replay = joined.select("ex_id", "source", "split", text.alias("utterance"), A.parse_annotation(F.col("annotation")).alias("parts"))
+    joined = pair_by_position(logged, ids.select("pair", "ex_id", "source", "split", "utterance"), position="pair")
+    replay = joined.select("ex_id", "source", "split", "utterance", A.parse_annotation(F.col("annotation")).alias("parts"))
     return corpus.augment(replay, KS, scope=["source"]).select("source", "ex_id", "variant", "utterance", "pattern")
 
 
@@ -266,3 +264,19 @@ def augment_legacy_brackets(t):
     out = S.decontaminate(G.generate(clean, vocabulary, unknown_slot="original_only"), keys, scope=["source"])
     return out.select("source", "ex_id", "variant", X.commas_to_spaces(F.col("utterance")).alias("utterance"),
                       X.commas_to_spaces(F.col("pattern")).alias("pattern"))
+
+
+@query(oracle(["annotated"], """
+SELECT g.source, 'prepared' AS status, CASE g.source WHEN 'ship' THEN 2 ELSE 3 END AS top_k, 5 AS cap, count(*) FILTER (variant = 0) AS train_examples,
+  count(*) FILTER (NOT held) AS output_rows, count(*) FILTER (held) AS removed_rows,
+  count(*) FILTER (variant = 0 AND (SELECT product(n) FROM sizes s WHERE s.source = g.source) > 5) AS truncated_examples,
+  (SELECT count(*) FROM held h WHERE h.source = g.source) AS heldout_keys, (SELECT count(*) FROM vocab v WHERE v.source = g.source) AS vocabulary_values
+FROM generated g GROUP BY 1
+UNION ALL SELECT 'absent', 'missing', 1, 5, 0, 0, 0, 0, 0, 0""", generated_sql(cap=5)))
+def release_manifest(t):
+    """Provenance of a capped generation; a declared source without rows is told as missing."""
+    keys = broadcast_if_small(stage(corpus.heldout(examples(t), ["source"]), "heldout"))
+    clean = corpus.staged_training(examples(t), ["source"], keys)
+    vocabulary = corpus.staged_vocabulary(clean, KS)
+    flagged = stage(S.flag_heldout(G.generate(clean, vocabulary, 5), keys, scope=["source"]), "generated")
+    return G.manifest(flagged, keys, vocabulary, {**KS, "absent": 1}, 5, ["source"]).drop("vocabulary_sha256")

@@ -112,6 +112,18 @@ def macro_summary(t):
     return out.select(r6(F.col("macro_accuracy")).alias("macro_accuracy"), r6(F.col("macro_target")).alias("macro_target"), "all_tasks", "counts_match")
 
 
+@query(oracle(["emb_rows"], """
+SELECT split AS task, target, round(acc, 6) AS accuracy, round(acc - target, 6) AS delta FROM (VALUES ('valid', 12.5::DOUBLE), ('test', 10.0)) t(task, target)
+JOIN (SELECT split, 100.0 * avg(CASE WHEN intent = ref_intent THEN 1.0 ELSE 0.0 END) AS acc FROM ranked WHERE rank = 1 GROUP BY split) ON split = task""", RANKED))
+def task_deltas(t):
+    """Per task, how far its accuracy is from the published one."""
+    acc = M.accuracy(ev.nearest_predictions(t.view("emb_rows")), ["split"])
+    tasks = acc.select(F.col("split").alias("task"), (100 * F.col("accuracy")).alias("accuracy"), "total")
+    targets = t.spark.createDataFrame([(a, b, 100) for a, b in TARGETS], "task string, target double, expected_total bigint")
+    out = M.task_deltas(tasks, targets)
+    return out.select("task", "target", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("delta")).alias("delta"))
+
+
 @query(oracle(["emb_rows"], """
 SELECT qid, predicted, votes, round(best, 6) AS score, first_idx AS ref_idx FROM (
   SELECT qid, ref_intent AS predicted, count(*) AS votes, max(s) AS best, arg_min(ref_idx, rank) AS first_idx,

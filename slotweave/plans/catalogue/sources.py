@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import annotation as A
 from slotweave.functions import text as X
+from slotweave.functions import vectors as VX
 from slotweave.operators import digest as D
 from slotweave.operators import gate as G
 from slotweave.operators import seeds as Z
@@ -324,3 +325,65 @@ def file_checksums(t):
         F.col("path").cast("bigint").alias("item_id"), F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("bigint").alias("bytes"),
         F.coalesce("hit", F.lit(False)).alias("changed"),
     )
+
+
+@query(oracle(["annotated"], f"""
+SELECT CAST(row_number() OVER (ORDER BY ex_id) + 1 AS BIGINT) AS line, split_part(l, ',', 1) AS utterance, split_part(l, ',', 2) AS pattern,
+  CASE WHEN ex_id % 11 <> 0 AND ex_id % 13 <> 0 THEN n ELSE -1 END AS slot_count,
+  CASE WHEN ex_id % 13 = 0 THEN 'not three fields' WHEN ex_id % 11 = 0 THEN 'wrong count' END AS problem
+FROM (SELECT ex_id, n, u || ',' || p || ',' || CASE WHEN ex_id % 11 = 0 THEN CAST(n + 1 AS VARCHAR) ELSE CAST(n AS VARCHAR) END
+    || CASE WHEN ex_id % 13 = 0 THEN ',x' ELSE '' END AS l FROM (
+  SELECT ex_id, replace(utterance, ',', ' ') AS u, replace({MASKED}, ',', ' ') AS p,
+    CAST((length({MASKED}) - length(replace({MASKED}, '{{SLOT}}', ''))) // 6 AS BIGINT) AS n FROM annotated))"""))
+def guarded_pairs(t):
+    """Released lines with wrong counts and extra fields planted; the reader names each of them."""
+    path = fresh_path(t.spark, "guarded")
+    u, p = X.commas_to_spaces(F.col("utterance")), X.commas_to_spaces(X.generic_mask(F.col("annotation")))
+    wrong = F.when(F.col("ex_id") % 11 == 0, 1).otherwise(0)
+    line = F.concat_ws(",", u, p, (X.slot_count(p) + wrong).cast("string"))
+    line = F.concat(line, F.when(F.col("ex_id") % 13 == 0, ",x").otherwise(""))
+    rows = t.view("annotated").select("ex_id", line.alias("value")).unionByName(
+        t.spark.range(1).select(F.lit(-1).cast("bigint").alias("ex_id"), F.lit(R.GUARDED_HEADER).alias("value")))
+    rows.repartitionByRange("ex_id").sortWithinPartitions("ex_id").select("value").write.text(path)
+    found = R.read_guarded_pairs(t.spark, path)
+    count = F.when(F.col("problem") == "not three fields", -1).otherwise(F.coalesce("slot_count", F.lit(-1)))
+    return found.withColumn("slot_count", count)
+
+
+@query(oracle(["annotated"], """
+SELECT CAST(row_number() OVER (ORDER BY intent) - 1 AS BIGINT) AS ord, intent AS text FROM (SELECT DISTINCT intent FROM annotated)"""))
+def label_file(t):
+    """The sorted label file of the parallel format."""
+    path = fresh_path(t.spark, "labels")
+    W.write_label_file(t.view("annotated"), path)
+    return R.read_lines(t.spark, path)
+
+
+@query("""SELECT CAST(item_id AS VARCHAR) AS name, item_id % 10 <> 0 AND item_id % 7 <> 0 AS passed FROM benchmark""")
+def declared_inputs(t):
+    """Benchmark items as loaded files: every tenth is not declared, every seventh declared with another checksum."""
+    items = t.table("benchmark").select(F.col("item_id").cast("string").alias("path"), "item_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    declared = items.where("item_id % 10 <> 0").withColumn(
+        "sha256", F.when(F.col("item_id") % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    return G.declared_inputs(items, declared).select("name", "passed")
+
+
+@query("""SELECT vec_id, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings""")
+def embedding_columns(t):
+    """The stored table read with its size checked, one column per component."""
+    rows = R.read_embeddings(t.spark, f"{t.folder}/embeddings.parquet", 64)
+    wide = rows.select("vec_id", *VX.to_columns(F.col("vec").cast("array<double>"), 64, "e"))
+    cells = F.array(*[F.struct(F.lit(i).cast("bigint").alias("dim"), F.col(f"e{i}").alias("x")) for i in range(64)])
+    return wide.select("vec_id", F.inline(cells))
+
+
+@query("SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(label AS VARCHAR) AS label, concat('v,', CAST(vec_id AS VARCHAR)) AS value FROM embeddings")
+def projection_dump(t):
+    """Points, labels and values written as one table and read back."""
+    path = fresh_path(t.spark, "plot")
+    v = F.col("embedding").cast("array<double>")
+    W.write_projection(t.table("embeddings").select(
+        v[0].alias("x"), v[1].alias("y"), F.col("label").cast("string").alias("label"),
+        F.concat(F.lit("v,"), F.col("vec_id").cast("string")).alias("value")), path)
+    back = R._csv(t.spark, path, ",")
+    return back.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "label", "value")

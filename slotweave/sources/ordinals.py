@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotweave.session import stage
+from slotweave.session import broadcast_if_small, stage
 
 BUCKET_ROWS = 65_536
 
@@ -61,18 +61,24 @@ def number_rows(df: DataFrame, order: list[str], buckets: list[Column], parts: l
     )
 
 
-def number_sorted(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
-    """Dense 0-based numbers of a whole table in ``order``, whatever its values look like.
+def number_sorted(df: DataFrame, order: list[str], parts: list[str] | None = None, out: str = "idx") -> DataFrame:
+    """Dense 0-based numbers in ``order`` within ``parts``, whatever the values look like.
 
-    Rows are sorted into ranges and written with their place; only the table of range sizes is summed up.
+    Rows are sorted into ranges over parts and order and written with their place, which is their only exchange;
+    the table of range sizes, a row per range and part, is summed up and joined.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
+    parts = parts or []
+    keys = [*parts, *[c for c in order if c not in parts]]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
     placed = stage(placed, "sorted").withColumn("_range", F.shiftright("_mid", 33))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
-    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    sizes = placed.groupBy(*parts, "_range").agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_o{i}" for i, k in enumerate([*parts, "_range"])}
+    offsets = sizes.select(
+        *[F.col(k).alias(n) for k, n in names.items()], "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
     number = (F.col("_mid") - F.col("_first") + F.col("_before")).cast("bigint")
-    return placed.join(offsets, "_range").select(*df.columns, number.alias(out))
+    return placed.join(broadcast_if_small(offsets), on).select(*df.columns, number.alias(out))
 
 
 def widen(df: DataFrame) -> DataFrame:

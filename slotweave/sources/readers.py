@@ -188,6 +188,41 @@ def read_pair_csv(spark: SparkSession, path, first: int | None = None, multiline
     return out if first is None else out.orderBy("ord").limit(first)
 
 
+GUARDED_HEADER = "utterance,pattern,slot_count"
+
+
+def read_guarded_pairs(spark: SparkSession, path, header: str | None = GUARDED_HEADER) -> DataFrame:
+    """Unquoted pair lines, each with its ``problem`` or null: (line, utterance, pattern, slot_count, problem).
+
+    The first line must be the ``header`` exactly; every other one has three fields, filled texts, and a plain
+    ASCII count that is true for its pattern. Nothing stops the job; callers report or refuse the violations.
+    """
+    lines = scan_order(spark.read.text(path))
+    fields = F.split("value", ",", -1)
+    u, p, raw = F.get(fields, F.lit(0)), F.get(fields, F.lit(1)), F.get(fields, F.lit(2))
+    count = X.strict_slot_count(raw, p)
+    problem = (
+        F.when(F.size(fields) != 3, "not three fields").when(X.is_blank(u), "empty utterance").when(X.is_blank(p), "empty pattern")
+        .when(count.isNull(), "wrong count")
+    )
+    if header is not None:
+        first = F.col("ord") == 0
+        problem = F.when(first, F.when(F.col("value") != header, "wrong header")).otherwise(problem)
+        lines = lines.withColumn("_skip", first & (F.col("value") == header)).where("NOT _skip")
+    return lines.select((F.col("ord") + 1).alias("line"), u.alias("utterance"), p.alias("pattern"), count.alias("slot_count"), problem.alias("problem"))
+
+
+def pair_by_position(a: DataFrame, b: DataFrame, text: str = "utterance", position: str = "ord") -> DataFrame:
+    """Rows of two tables by position; a missing partner or a different text stops the job.
+
+    Columns of ``b`` other than position and text are added to those of ``a``.
+    """
+    other = b.select(position, F.col(text).alias("_text"), *[c for c in b.columns if c not in (position, text)])
+    joined = a.join(other, position, "full_outer")
+    same = F.col(text).isNotNull() & F.col("_text").isNotNull() & (F.col(text) == F.col("_text"))
+    return joined.withColumn(text, checked(F.coalesce(F.col(text), F.col("_text")), same, "texts differ by position")).drop("_text")
+
+
 def _json_names(spark: SparkSession, path: str) -> list[str]:
     """Keys of the first object in the order they are written; inference sorts them by name."""
     first = spark.read.text(path).where(~X.is_blank(F.col("value"))).select(F.json_object_keys("value").alias("names")).first()
@@ -327,9 +362,11 @@ def read_evidence_jsonl(spark: SparkSession, path) -> DataFrame:
     return rows.select((F.col("ord") + 1).alias("line"), "utterance", "template", "slots", valid.alias("valid"))
 
 
-def read_embeddings(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+def read_embeddings(spark: SparkSession, path, dims: int, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(id, vec) of a stored embedding table; a vector of another size or with a null in it stops the job."""
+    v = F.col(vec)
+    ok = (F.size(v) == dims) & ~F.exists(v, lambda x: x.isNull())
+    return spark.read.parquet(path).select(id_col, checked(v, ok, "malformed vector").alias("vec"))
 
 
 def read_run_results(spark: SparkSession, grid: DataFrame, path, name: str = "([^/]+)$") -> DataFrame:

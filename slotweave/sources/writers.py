@@ -55,6 +55,12 @@ def write_parallel_files(df: DataFrame, folder: str, columns: dict[str, str] | N
         )
 
 
+def write_label_file(df: DataFrame, path: str, label: str = "intent") -> None:
+    """The distinct labels, sorted, one on a line."""
+    df.select(label).where(F.col(label).isNotNull()).distinct().repartitionByRange(label).sortWithinPartitions(label).write.mode(
+        "errorifexists").text(path)
+
+
 def write_per_source_parquet(df: DataFrame, path: str) -> None:
     """zstd Parquet, one directory per source; reading one source is partition pruning."""
     df.repartitionByRange("source", "source_row").sortWithinPartitions("source", "source_row").write.mode(
@@ -78,7 +84,7 @@ def combine_sources(df: DataFrame, source_order: list[str]) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small report as one JSON file; the output committer makes it appear as a whole."""
+    """A report of a row per source or check as one JSON file; the output committer makes it appear as a whole."""
     df.coalesce(1).write.mode("errorifexists").json(path)
 
 
