@@ -60,7 +60,8 @@ class PieceCodec:
             raise ValueError(f"{path}: not a merge-type model with byte fallback, plain text and pieces that start words")
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, piece)
+            if len(piece) > 1:  # every known character is a piece by itself
+                self.automaton.add_word(piece, (len(piece) - 1, piece))
         self.automaton.make_automaton()
         self.unknown = re.compile(f"[^{''.join(map(re.escape, sorted(p for p in self.ids if len(p) == 1)))}]")
         self.written = {piece: str(i) for piece, i in self.ids.items()}
@@ -122,9 +123,9 @@ class PieceCodec:
     def _known(self, text: str) -> list[str]:
         """Pieces of a text without unknown characters."""
         size = len(text)
-        longest: list[str | None] = [None] * size
-        for start, piece in self.automaton.iter(text):
-            longest[start - len(piece) + 1] = piece  # ends ascend, so the last one is the longest
+        longest: list[str | None] = list(text)
+        for end, (back, piece) in self.automaton.iter(text):
+            longest[end - back] = piece  # ends ascend, so the last one is the longest
         failed = bytearray(size + 1)
         fits, prefix, out = self._fits, self._prefix, []
         at, piece, last = 0, longest[0], ""
