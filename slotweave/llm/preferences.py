@@ -15,7 +15,7 @@ from slotweave.session import stage
 from slotweave.sources.ordinals import number_rows
 
 BLOCK_TURNS = 1024
-BLOCK_IDS = 4096
+BLOCK_IDS = 512
 TRAINED_ROLE = "assistant"
 
 # How a turn is written: start, role, new line, text, end, new line.
