@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from slotweave.functions import annotation as A
@@ -122,8 +123,12 @@ def test_depth_sweep_matches_separate_runs(spark):
     assert got[0] == 80
 
 
-def test_source_rows_are_dense_and_ordered(spark, monkeypatch):
-    monkeypatch.setattr(G, "BUCKET_ROWS", 3)
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_source_rows_are_dense_and_ordered(spark, coalesce):
+    """In one range and in many."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, coalesce)
     rows = [("s" if i % 3 else "t", i, f"go {i % 5}", f"go [n : {i % 5}]") for i in range(40)]
     ex = examples(spark, rows)
     out = G.number_source_rows(G.generate(ex, V.slot_vocabulary(ex, 4)))
@@ -131,6 +136,7 @@ def test_source_rows_are_dense_and_ordered(spark, monkeypatch):
         got = [r["source_row"] for r in out.filter(F.col("source") == s).orderBy("ex_id", "variant").collect()]
         assert got == list(range(len(got)))
     assert texts(out.repartition(16)) == texts(out.repartition(1))
+    spark.conf.set(key, before)
 
 
 def test_per_example_counting(spark):
