@@ -69,7 +69,8 @@ def number_sorted(df: DataFrame, order: list[str], parts: list[str] | None = Non
     """
     parts = parts or []
     keys = [*parts, *[c for c in order if c not in parts]]
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small tables still use all cores
+    placed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
     placed = stage(placed, "sorted").withColumn("_range", F.shiftright("_mid", 33))
     sizes = placed.groupBy(*parts, "_range").agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
