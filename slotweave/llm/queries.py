@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotweave.llm import licences, packing, pieces, piecewise, preferences, quality, rules, simhash, toxicity, urls, windows
+from slotweave.llm import licences, packing, pieces, piecewise, preferences, quality, rules, simhash, toxicity, urls, whitening, windows
 from slotweave.llm.common import table
 
 
@@ -49,13 +50,17 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op13_windows(spark: SparkSession, folder: str) -> DataFrame:
     return windows.pack_windows(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_piecewise, op3_quality, op4_pieces, op5_toxicity, op6_urls, op7_preferences, op8_packing, op9_rules,
-    op10_licences, op13_windows,
+    op10_licences, op12_whitening, op13_windows,
 )}
 
 ORACLES: dict[str, str] = {

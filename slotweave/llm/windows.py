@@ -68,9 +68,10 @@ def repeat_counts(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """x >= 0 with the least squared distance between the lengths used by x copies of ``rows`` and ``counts``.
 
     Active sets: the combinations that would help most and have no length in common enter together, those whose least squares
-    solution is not positive leave; the best solution met is kept.
+    solution is not positive leave. Where that stops helping, steps end where the first combination meets zero, as Lawson
+    and Hanson's do, which never moves away from the optimum.
     """
-    target = counts.astype(np.float64)
+    x, target = np.zeros(len(rows)), counts.astype(np.float64)
     target[0] = 0
     size = len(counts)
 
@@ -82,38 +83,56 @@ def repeat_counts(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return a
 
     x = np.zeros(len(rows))
-    passive, best, lowest, stalled = np.empty(0, dtype=np.int64), x, np.inf, 0
+    def solved(some: np.ndarray) -> np.ndarray:
+        a = dense(some)
+        return np.linalg.solve(a.T @ a + RIDGE * np.eye(len(some)), a.T @ target)
+
+    passive, careful, stalled = np.empty(0, dtype=np.int64), False, 0
+    best, lowest = x, float(target @ target)
     for _ in range(MAX_STEPS):
-        left = target - dense(passive) @ x[passive] if len(passive) else target.copy()
+        left = target - dense(passive) @ x[passive]
+        left[0] = 0
         error = float(left @ left)
         stalled = stalled + 1 if error > lowest * (1 - 1e-6) else 0
         if error < lowest:
             best, lowest = x, error
-        if stalled > 3 or error < CLOSE:
+        if error < CLOSE or careful and stalled > 3:
             break
-        left[0] = 0
+        if stalled > 3:  # from the best solution on, never further than all stay non-negative
+            careful, stalled, x = True, 0, best
+            passive = np.flatnonzero(x > 0)
+            left = target - dense(passive) @ x[passive]
+            left[0] = 0
         gain = left[rows].sum(axis=1)
         gain[passive] = -np.inf
-        order = np.argsort(-gain, kind="stable")[:4096]
         taken, used = [], np.zeros(size, dtype=bool)
-        for j in order.tolist():
-            if gain[j] <= 1e-6 or len(taken) == (1 if stalled else ADDED_AT_ONCE):
+        for j in np.argsort(-gain, kind="stable")[:4096].tolist():
+            if gain[j] <= 1e-6 or len(taken) == ADDED_AT_ONCE:
                 break
             lengths = rows[j][rows[j] > 0]
             if not used[lengths].any():
                 used[lengths] = True
                 taken.append(j)
         if not taken:
-            break
-        passive = np.concatenate([passive, np.array(taken, dtype=np.int64)])
-        x = np.zeros(len(rows))
+            if careful:
+                break
+            stalled = MAX_STEPS
+            continue
+        passive, x = np.concatenate([passive, np.array(taken, dtype=np.int64)]), x.copy()
         while len(passive):
-            a = dense(passive)
-            z = np.linalg.solve(a.T @ a + RIDGE * np.eye(len(passive)), a.T @ target)
+            z, now = solved(passive), x[passive]
+            x[passive] = 0
             if (z > 0).all():
                 x[passive] = z
                 break
-            passive = passive[z > 0]
+            if not careful:
+                passive = passive[z > 0]
+                continue
+            room = np.where(z <= 0, now / np.maximum(now - z, 1e-300), np.inf)
+            stays = room > room.min() + 1e-12
+            now = np.maximum(now + min(1.0, float(room.min())) * (z - now), 0)
+            passive = passive[stays]
+            x[passive] = now[stays]
     return best
 
 
