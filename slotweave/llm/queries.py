@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.llm import licences, packing, pieces, piecewise, preferences, quality, rules, simhash, toxicity, urls, whitening, windows
+from slotweave.llm import licences, packing, pieces, piecewise, preferences, prefixes, quality, rules, simhash, toxicity, urls, whitening, windows
 from slotweave.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+def op11_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, folder, "conversations"))
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
@@ -60,11 +64,12 @@ def op13_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_piecewise, op3_quality, op4_pieces, op5_toxicity, op6_urls, op7_preferences, op8_packing, op9_rules,
-    op10_licences, op12_whitening, op13_windows,
+    op10_licences, op11_prefixes, op12_whitening, op13_windows,
 )}
 
 ORACLES: dict[str, str] = {
     "op6_urls": urls.oracle(),
     "op7_preferences": preferences.oracle(),
     "op10_licences": licences.oracle(),
+    "op11_prefixes": prefixes.oracle(),
 }
