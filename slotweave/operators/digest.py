@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotweave.sources.documents import checksums
+
 FANOUT = 4096
 LEVELS = 3  # at least; a tree grows higher where a part has more than FANOUT ** LEVELS rows
 
@@ -38,9 +40,8 @@ def ordered_digest(df: DataFrame, columns: list[str], position: str, parts: list
 
 
 def file_checksums(spark: SparkSession, path) -> DataFrame:
-    """SHA-256 per input file. binaryFile reads one whole file per row, so files must stay below 2 GB."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) per input file of any size."""
+    return checksums(spark, path)
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import annotation as A
 from slotweave.functions import text as X
+from slotweave.session import broadcast_if_small, stage
 
 # Substitution depth per source.
 TOP_K = {"snips": 5, "atis": 2, "massive": 3, "hwu": 3, "clinc": 5}
@@ -76,20 +77,23 @@ def slot_vocabulary(examples: DataFrame, ks: dict[str, int] | int, count: str =
     return top_values(slot_frequencies(slot_occurrences(examples, count)), ks)
 
 
-def mask_beyond(rows: DataFrame, text: str, keys: list[str], kinds: DataFrame, k: int) -> DataFrame:
+def mask_beyond(rows: DataFrame, text: str, kinds: DataFrame, k: int) -> DataFrame:
     """Keep the ``k`` most frequent slot tokens of ``kinds(kind, n)``; every other one becomes the placeholder.
 
-    ``keys`` tell rows apart. Only k names are ranked; tokens that ``kinds`` does not know stay as they are.
+    Only k names are ranked; tokens that ``kinds`` does not know stay as they are. Rows are told apart by nothing but the tokens
+    they hold: each distinct list of tokens is looked up once.
     """
-    kept = kinds.orderBy(F.col("n").desc(), "kind").limit(k)
-    others = kinds.join(F.broadcast(kept.select("kind")), "kind", "left_anti").select(
+    kept = stage(kinds.orderBy(F.col("n").desc(), "kind").limit(k).select("kind"), "kept")
+    others = kinds.join(broadcast_if_small(kept), "kind", "left_anti").select(
         F.concat(F.lit("{"), "kind", F.lit("}")).alias("token"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\{[^{}]*\}"), 0))
-    found = rows.select(*keys, F.explode(tokens).alias("token")).join(others, "token").groupBy(*keys).agg(
+    tokens = F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\{[^{}]*\}"), 0)))
+    tagged = rows.withColumn("_tokens", tokens)
+    lists = tagged.where(F.size("_tokens") > 0).select("_tokens").distinct()
+    found = lists.select("_tokens", F.explode("_tokens").alias("token")).join(others, "token").groupBy("_tokens").agg(
         F.collect_set("token").alias("_beyond"))
     none = F.array().cast("array<string>")
     masked = F.aggregate(F.coalesce("_beyond", none), F.col(text), lambda out, token: F.replace(out, token, F.lit(X.SLOT)))
-    return rows.join(found, keys, "left").withColumn(text, masked).drop("_beyond")
+    return tagged.join(found, "_tokens", "left").withColumn(text, masked).select(*rows.columns)
 
 
 def vocabulary_arrays(vocabulary: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ top AS (SELECT kind FROM (SELECT kind, count(*) AS n FROM slots GROUP BY kind) O
 def keep_topk_slots(t):
     """The two most frequent kinds keep their tokens; the others are masked."""
     kinds = V.slot_occurrences(examples(t)).groupBy("kind").agg(F.count("*").alias("n"))
-    return V.mask_beyond(curly(t), "template", ["source", "ex_id"], kinds, 2).select("ex_id", "template")
+    return V.mask_beyond(curly(t), "template", kinds, 2).select("ex_id", "template")
 
 
 @query(oracle(["annotated"], f"""

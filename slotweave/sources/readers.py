@@ -1,7 +1,7 @@
 """Readers. Each one returns explicit order columns; malformed input stops the job.
 
-Line formats (JSONL, text, plain CSV) split into many tasks. Whole-document formats (one JSON object
-per file, CSV with embedded newlines) are one task per file because the format cannot be split.
+Line formats (JSONL, text, plain CSV) split into many tasks, and so do JSON documents of one object per file
+(``documents``). Only CSV with embedded newlines is one task per file.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from slotweave.functions import annotation as A
 from slotweave.functions import text as X
+from slotweave.sources.documents import CHUNK_BYTES, read_elements
 from slotweave.sources.ordinals import by_ord, number_rows, scan_order
 
 # The columns of the semicolon-separated export, in order.
@@ -38,13 +39,6 @@ def decoded_as(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), F.lit("utf-8")).otherwise(F.lit("latin-1"))
 
 
-def _whole_files(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
-    raw = spark.read.format("binaryFile").load(path)
-    text = decode_bytes(F.col("content")) if encoding is None else F.decode(F.col("content"), encoding)
-    used = decoded_as(F.col("content")) if encoding is None else F.lit(encoding.lower())
-    return raw.select(F.col("path").alias("file"), text.alias("text"), used.alias("encoding"))
-
-
 # ---------------------------------------------------------------- annotated corpora
 
 def read_annotated_jsonl(spark: SparkSession, path, partition: str | None = None) -> DataFrame:
@@ -63,34 +57,23 @@ def read_annotated_jsonl(spark: SparkSession, path, partition: str | None = None
     return out if partition is None else out.filter(F.col("split") == X.SPLIT_NAMES[partition])
 
 
-_NESTED = "map<string,array<struct<data:array<struct<text:string,entity:string>>>>>"
-
-
-def read_part_json(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
-    """``{intent: [{"data": [{"text", "entity"?}]}]}``, intents in sorted order."""
-    files = _whole_files(spark, path, encoding)
-    labels = files.select(
-        "file", "encoding", F.explode(F.from_json("text", _NESTED, {"mode": "FAILFAST"})).alias("intent", "rows")
-    )
-    rows = labels.select("file", "encoding", "intent", F.posexplode("rows").alias("pos", "row"))
+def read_part_json(spark: SparkSession, path, encoding: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``{intent: [{"data": [{"text", "entity"?}]}]}``, rows by their place in the list of their intent."""
+    rows = read_elements(spark, path, "{", 2, encoding, chunk_bytes)
+    row = F.from_json("element", "data array<struct<text:string,entity:string>>", {"mode": "FAILFAST"})
     parts = F.transform(
-        F.col("row.data"),
+        row["data"],
         lambda p: F.struct(p["text"].alias("value"), F.nullif(p["entity"], F.lit("")).alias("kind")),
     ).cast(A.PARTS_TYPE)
-    return rows.select(
-        "file", "encoding", "intent", F.col("pos").cast("bigint").alias("pos"),
-        A.parts_to_text(parts).alias("utterance"), parts.alias("parts"),
-    )
+    return rows.withColumn("parts", parts).select(
+        "file", "encoding", F.col("key").alias("intent"), "pos", A.parts_to_text(F.col("parts")).alias("utterance"), "parts")
 
 
-def read_span_json(spark: SparkSession, path) -> DataFrame:
+def read_span_json(spark: SparkSession, path, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``rasa_nlu_data.common_examples[]`` with character-offset entities."""
     entity = "struct<start:bigint,`end`:bigint,entity:string,value:string>"
-    schema = f"rasa_nlu_data struct<common_examples:array<struct<text:string,intent:string,entities:array<{entity}>>>>"
-    files = _whole_files(spark, path).select(
-        "file", F.from_json("text", schema, {"mode": "FAILFAST"}).alias("doc")
-    )
-    rows = files.select("file", F.posexplode("doc.rasa_nlu_data.common_examples").alias("ord", "ex"))
+    rows = read_elements(spark, path, "{", 3, None, chunk_bytes).where("key = 'common_examples'")
+    rows = rows.withColumn("ex", F.from_json("element", f"text string, intent string, entities array<{entity}>", {"mode": "FAILFAST"}))
     spans = F.transform(
         F.coalesce(F.col("ex.entities"), F.array().cast(f"array<{entity}>")),
         lambda e: F.struct(
@@ -98,7 +81,7 @@ def read_span_json(spark: SparkSession, path) -> DataFrame:
         ),
     ).cast(A.SPANS_TYPE)
     return rows.select(
-        "file", F.col("ord").cast("bigint").alias("ord"), F.col("ex.text").alias("utterance"),
+        "file", F.col("pos").alias("ord"), F.col("ex.text").alias("utterance"),
         F.col("ex.intent").alias("intent"), spans.alias("spans"),
     )
 
@@ -250,18 +233,15 @@ def read_pairs(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
     return rows.select("ord", F.col(names[0]).alias("utterance"), F.col(names[1]).alias("pattern"))
 
 
-def read_split_json(spark: SparkSession, path) -> DataFrame:
+def read_split_json(spark: SparkSession, path, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``{train, val, test, oos_train, ...: [[text, intent], ...]}``; in-domain rows before out-of-scope."""
-    files = _whole_files(spark, path)
-    groups = files.select(
-        F.explode(F.from_json("text", "map<string,array<array<string>>>", {"mode": "FAILFAST"})).alias("name", "rows")
-    )
-    rows = groups.select("name", F.posexplode("rows").alias("pos", "row"))
+    rows = read_elements(spark, path, "[", 2, None, chunk_bytes)
+    rows = rows.withColumn("row", F.from_json("element", "array<string>", {"mode": "FAILFAST"})).withColumnRenamed("key", "name")
     base = F.regexp_replace("name", "^oos_", "")
     return rows.select(
         X.normalise_split(F.when(base == "val", "valid").otherwise(base)).alias("split"),
         F.startswith("name", F.lit("oos_")).alias("is_oos"),
-        F.col("pos").cast("bigint").alias("pos"),
+        "pos",
         F.get("row", F.lit(0)).alias("utterance"),
         F.get("row", F.lit(1)).alias("intent"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slotweave import session
 from slotweave.functions import annotation as A
-from slotweave.operators import digest, gate, generate, metrics, pairs, splits, vocab
+from slotweave.operators import digest, encode, gate, generate, metrics, pairs, splits, vocab
 from slotweave.sources import readers as R
 from slotweave.sources.ordinals import number_sorted
 
@@ -27,7 +27,7 @@ def vocabulary(spark, kinds, source="s"):
 def test_slot_tokens_beyond_the_top_are_masked_whatever_their_number(spark):
     kinds = spark.createDataFrame([(f"k{i:05}", 20_000 - i) for i in range(12_000)], "kind string, n long")
     rows = spark.createDataFrame([(1, "{k00000} {k00001} {k11999} {other}"), (2, "none")], "id long, t string")
-    got = {r["id"]: r["t"] for r in vocab.mask_beyond(rows, "t", ["id"], kinds, 1).collect()}
+    got = {r["id"]: r["t"] for r in vocab.mask_beyond(rows, "t", kinds, 1).collect()}
     assert got == {1: "{k00000} {SLOT} {SLOT} {other}", 2: "none"}
 
 
@@ -126,3 +126,25 @@ def test_broadcasts_are_bounded_by_rows_too(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_ROWS", 99)
     assert not hinted(session.broadcast_if_small(df))
     assert session.fresh_path(spark, "x") != session.fresh_path(spark, "x")
+
+
+def test_masking_needs_no_row_key(spark):
+    """Null and repeated keys keep rows of their own."""
+    rows = spark.createDataFrame([(None, "go {a} {b}"), (None, "{b} x {c}"), (1, "{b}"), (1, "{a} {zz}"), (2, None), (3, "none")], "id int, t string")
+    kinds = spark.createDataFrame([("a", 5), ("b", 3), ("c", 1)], "kind string, n int")
+    got = sorted(((r["id"], r["t"]) for r in vocab.mask_beyond(rows, "t", kinds, 1).collect()), key=str)
+    assert got == sorted([(None, "go {a} {SLOT}"), (None, "{SLOT} x {SLOT}"), (1, "{SLOT}"), (1, "{a} {zz}"), (2, None), (3, "none")], key=str)
+
+
+def test_padding_keeps_rows_of_repeated_and_null_keys(spark):
+    rows = [(1, "a b c d e f g"), (1, "b"), (None, "c zz a"), (None, None), (2, ""), (2, "")] + [(k % 3, "a " * (k % 9)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    vocabulary = spark.createDataFrame([(w, i + 4) for i, w in enumerate("abcdefg")], "token string, token_id int")
+    ids = {w: i + 4 for i, w in enumerate("abcdefg")}
+    want = []
+    for key, text in rows:
+        own = [2, *[ids.get(w, 1) for w in (text or "").split()[:4]], 3]
+        want.append((key, own + [0] * (6 - len(own)), [1] * len(own) + [0] * (6 - len(own)), [0] * 6))
+    for limits in ({}, {"small": 0, "block_rows": 16}):
+        got = [tuple(r) for r in encode.pad_truncate(df, vocabulary, 6, "id", **limits).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
