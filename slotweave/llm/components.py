@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotweave.session import stage
 
 MAX_ROUNDS = 100
+SMALL_LINKS = 500_000  # up to so many links, the minima of their nodes (16 bytes each) go to every task
 
 
 def _fingerprint(links: DataFrame):
@@ -29,13 +30,15 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             break
         # Larger neighbours of every node go to the smallest of its neighbourhood.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # A node with many links is not gathered by the join while the minima are few; beyond, Spark splits the skewed side.
+        sent = F.broadcast if known[0] <= SMALL_LINKS else lambda df: df
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = links.select(F.col("b").alias("u"), F.col("a").alias("v")).join(low.withColumnRenamed("a", "u"), "u")
+        large = links.select(F.col("b").alias("u"), F.col("a").alias("v")).join(sent(low.withColumnRenamed("a", "u")), "u")
         large = large.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stage(large, "links")
         # Smaller neighbours, and the node, go to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        moved = large.join(sent(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         links = stage(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
         now = _fingerprint(links)
         if now == known:

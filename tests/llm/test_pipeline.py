@@ -5,8 +5,8 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from slotweave.llm import quality, rules
 
+from .test_nearcopies import brute_groups
 from .test_packing import check
-from .test_simhash import brute_components
 
 
 def test_registered():
@@ -29,7 +29,8 @@ def test_run_equals_brute_force(spark, sf_dir, tables):
     left = spark.createDataFrame(rows, docs.schema)
     model, features = quality.train(left, labels), quality.Features()
     rows = [r for r in rows if quality.logistic(float(model[(f := features(r["text"]))[0]] @ f[1])) >= quality.KEEP]
-    first = {i for i, _, c in brute_components([(r["doc_id"], r["text"]) for r in rows]) if i == c}
+    rows.sort(key=lambda r: r["doc_id"])  # of each group the smallest id stays
+    first = {rows[g]["doc_id"] for g in brute_groups([r["text"] for r in rows])}
     rows = [(r["doc_id"], r["text"]) for r in rows if r["doc_id"] in first]
     assert {r["doc_id"] for r in got} == first
     check(got, rows, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
