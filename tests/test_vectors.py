@@ -214,3 +214,36 @@ def test_probe_and_plot(spark):
     assert [(r["utterance"], r["embedding_vector"]) for r in rows.collect()] == [("u1", [0.6, 0.8])]
     assert {r["label"] for r in probe.stacked_view(rows).collect()} == {"0:Pattern", "1:Utterance"}
     assert probe.plot_points(probe.stacked_view(rows)).count() == 2
+
+
+def test_search_beside_queries_moves_no_query_vectors(spark):
+    r, q = random_rows(300), random_rows(60, seed=1)
+    refs = vec_df(spark, as_rows(r)).repartition(3)
+    qs = vec_df(spark, as_rows(q), "qid bigint, intent string, vec array<double>")
+    one = search.top_matches(qs, refs, k=3)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    many = search.top_matches(qs, refs, k=3, round_bytes=8_000)
+    columns = ["qid", "rank", "ref_idx"]
+    key = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    want = sorted((i, n + 1, j) for i, found in enumerate(exact_top(q, r, 3)) for n, (j, _) in enumerate(found))
+    assert key(one) == key(many) == want
+
+
+@pytest.mark.parametrize("d, spread", [(3, 0.05), (16, 0.02), (16, 3.0)])
+def test_blocks_are_skipped_without_losing_a_match(d, spread):
+    rng = np.random.default_rng(d)
+    centres = rng.normal(size=(30, d))
+    r = np.repeat(centres, 50, axis=0) + spread * rng.normal(size=(1500, d))
+    r[7] = 0.0
+    r[100:120] = r[50]  # ties
+    q = np.concatenate([centres + spread * rng.normal(size=(30, d)), r[50:51], np.zeros((1, d)), -r[3:4]])
+    for threshold in (None, 0.7):
+        blocks = search.Blocks(r, np.arange(1500), block=25)
+        rows, score, compared = blocks.search(q, 4, threshold)
+        scores = [(tiles.unit(r) * u).sum(axis=1) for u in tiles.unit(q)]  # zero vectors score zero
+        for i, s in enumerate(scores):
+            want = [(j, s[j]) for j in np.lexsort((np.arange(1500), -s))[:4].tolist() if threshold is None or s[j] >= threshold]
+            assert [j for j in rows[i].tolist() if j >= 0] == [j for j, _ in want]
+            assert np.allclose([s for s in score[i] if np.isfinite(s)], [s for _, s in want], atol=1e-12)
+        if spread < 1:
+            assert compared < 0.5 * len(q) * len(blocks.rows)
