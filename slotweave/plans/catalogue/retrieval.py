@@ -375,6 +375,19 @@ def ivf_matches(t):
     return found.select("qid", "ref_idx", "rank", r6(F.col("score")).alias("score"))
 
 
+@query("SELECT 5 * least(1, (SELECT count(*) FROM documents) // 5) * count(*) AS expected, TRUE AS recalled, TRUE AS pruned FROM documents WHERE doc_id % 50 = 0")
+def ann_recall(t):
+    """Documents by their hashed words: of the five nearest of every query, nine tenths or more are found, with half of the cells or fewer."""
+    rows = stage(E.encode_hashed(t.table("documents").select(F.col("doc_id").alias("idx"), "text")).select("idx", "vec"), "encoded")
+    q = rows.where("idx % 50 = 0").withColumnRenamed("idx", "qid")
+    known = R.fit_quantiser(rows)
+    placed = R.indexed(rows, known)
+    probes = R.calibrated_probes(q, rows, known, placed, 5)
+    found = R.code_matches(q, rows, k=5, probes=probes, known=known, placed=placed)
+    return R.recall(found, R.top_matches(q, rows, k=5)).select(
+        "expected", (F.col("recall") >= 0.9).alias("recalled"), F.lit(2 * probes <= len(known.centres)).alias("pruned"))
+
+
 @query(oracle(["emb_rows"], "SELECT split, 1.0::DOUBLE AS accuracy, count(*) AS total FROM emb_rows WHERE split <> 'train' GROUP BY split"))
 def linear_probe(t):
     """Vectors with their label's own component raised are linearly separable: every prediction must be right."""

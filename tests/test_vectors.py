@@ -247,3 +247,24 @@ def test_blocks_are_skipped_without_losing_a_match(d, spread):
             assert np.allclose([s for s in score[i] if np.isfinite(s)], [s for _, s in want], atol=1e-12)
         if spread < 1:
             assert compared < 0.5 * len(q) * len(blocks.rows)
+
+
+def test_codes_find_neighbours_in_few_cells(spark):
+    """Clustered vectors, a third of them in one hot cluster: recall from few cells, every row indexed."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 24))
+    r = np.concatenate([centres[rng.integers(0, 40, 800)], np.repeat(centres[:1], 400, axis=0)]) + 0.15 * rng.normal(size=(1200, 24))
+    refs = vec_df(spark, as_rows(r)).repartition(3)
+    q = vec_df(spark, as_rows(centres[rng.integers(0, 40, 60)] + 0.15 * rng.normal(size=(60, 24))), "qid bigint, intent string, vec array<double>")
+    known = search.fit_quantiser(refs, sample_rows=900)
+    assert 20 <= len(known.centres) <= 900 // search.CELL_ROWS and len(known.tops) < len(known.centres)
+    placed = search.indexed(refs, known)
+    assert placed.count() == 1200 and placed.select("idx").distinct().count() == 1200
+    probes = search.calibrated_probes(q, refs, known, placed, 5)
+    assert probes <= len(known.centres) // 2
+    found = search.code_matches(q, refs, k=5, known=known, placed=placed, probes=probes)
+    assert search.recall(found, search.top_matches(q, refs, k=5)).first()["recall"] >= 0.9
+    assert {r["rank"] for r in found.collect()} == {1, 2, 3, 4, 5} and set(found.columns) == {"qid", "intent", "ref_idx", "ref_intent", "score", "rank"}
+    every = search.code_matches(q, refs, k=5, known=known, placed=placed, probes=len(known.centres), shortlist=1200)
+    key = lambda df: sorted(map(tuple, df.select("qid", "rank", "ref_idx").collect()))
+    assert key(every) == key(search.top_matches(q, refs, k=5))
