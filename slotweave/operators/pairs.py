@@ -7,6 +7,8 @@ true function of each pair; it goes through the tile kernel, which returns one r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -131,3 +133,46 @@ def uniformity(df: DataFrame, id_col: str = "vec_id", vec: str = "vec", t: float
     return potential_sums(df, id_col, vec, t, rows).agg(
         F.sum("pairs").alias("pairs"), F.log(F.sum("potential") / F.sum("pairs")).alias("uniformity")
     )
+
+
+FEATURES = 4096
+SURENESS = 1e-6
+
+
+def _feature_sums(waves: np.ndarray, vec: str):
+    """Per task: the number of vectors and, by wave, the sums of its cosines and sines."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, np.zeros((2, waves.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, tiles.SLICE):
+                x = tiles.matrix(pa.Table.from_batches([batch.slice(at, tiles.SLICE)]), vec)
+                phase = x @ waves
+                sums += np.stack([np.cos(phase).sum(axis=0), np.sin(phase).sum(axis=0)])
+                n += len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *[pa.array([s.tolist()], pa.list_(pa.float64())) for s in sums]], names=["n", "c", "s"])
+
+    return run
+
+
+def uniformity_sketch(df: DataFrame, vec: str = "vec", t: float = 2.0, features: int = FEATURES, sureness: float = SURENESS, seed: int = 17) -> DataFrame:
+    """(pairs, uniformity, potential, bound): the mean Gaussian potential of all pairs from one pass over the vectors.
+
+    exp(-t |x - y|^2) is the mean of cos(w (x - y)) over normal waves w of variance 2 t, so its mean over all pairs of rows is
+    the mean squared length of the average of (cos w x, sin w x). That is a number in [0, 1] for each of the ``features``
+    independent waves; by Hoeffding's inequality their mean is off by more than ``bound`` with a probability of at most ``sureness``.
+    The exact way is ``uniformity``.
+    """
+    width = df.agg(F.max(F.size(vec)).alias("d")).first()["d"]
+    if width is None or width < 1:
+        raise ValueError("need non-empty vectors")
+    waves = np.random.default_rng(seed).normal(scale=np.sqrt(2 * t), size=(width, features))
+    parts = df.select(F.col(vec).alias("v")).mapInArrow(_feature_sums(waves, "v"), "n bigint, c array<double>, s array<double>")
+    total = parts.agg(F.sum("n").alias("n"), _sum_vector(F.col("c")).alias("c"), _sum_vector(F.col("s")).alias("s"))
+    n = F.col("n").cast("double")
+    # Rows with themselves have a potential of 1 and are no pairs.
+    mean = (V.sum_squares(F.col("c")) + V.sum_squares(F.col("s"))) / features
+    potential = (mean - n) / (n * (n - 1))
+    bound = float(np.sqrt(np.log(2 / sureness) / (2 * features))) * n / (n - 1)
+    return total.select((F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"), potential.alias("potential"), bound.alias("bound")).select(
+        "pairs", F.log("potential").alias("uniformity"), "potential", "bound")

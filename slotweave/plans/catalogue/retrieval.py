@@ -223,6 +223,16 @@ def uniformity(t):
     return P.uniformity(unit_rows(t)).select("pairs", r6(F.col("uniformity")).alias("uniformity"))
 
 
+@query(oracle(["emb_rows"], "SELECT count(*) AS pairs, round(ln(avg(exp(-2 * d2))), 6) AS exact, TRUE AS within_bound FROM pairs", ALL_PAIRS))
+def uniformity_sketch(t):
+    """The potential from random waves, held against the exact one."""
+    rows = unit_rows(t)
+    exact = P.uniformity(rows).select("pairs", F.col("uniformity").alias("exact"))
+    about = P.uniformity_sketch(rows).select("pairs", "potential", "bound")
+    near = F.abs(F.col("potential") - F.exp("exact")) <= F.col("bound")
+    return exact.join(about, "pairs").select("pairs", r6(F.col("exact")).alias("exact"), near.alias("within_bound"))
+
+
 @query(oracle(["emb_rows"], """
 SELECT count(*) FILTER (same) AS same_intent_pairs, round(avg(d2) FILTER (same), 6) AS alignment
 FROM (SELECT d2, ia = ib OR va % 3 = vb % 3 AS same FROM pairs)""", ALL_PAIRS))

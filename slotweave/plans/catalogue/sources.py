@@ -12,6 +12,7 @@ from slotweave.functions import vectors as VX
 from slotweave.operators import digest as D
 from slotweave.operators import gate as G
 from slotweave.operators import seeds as Z
+from slotweave.operators import tagger
 from slotweave.operators import vocab as V
 from slotweave.plans.catalogue.texts import ANN, MASKED, SLOTS, examples
 from slotweave.plans.registry import query
@@ -272,6 +273,20 @@ def tag_spans(t):
     return tagged.select("doc_id", F.size(slots).cast("bigint").alias("tags"), F.md5("annotation").alias("annotation_md5"))
 
 
+TERMS = ["the", "then", "he", "and", "die", "der", "und", "ein", "eine", "que", "la", "el", "de la", "la que", "en", "le", "les", "ion", "tion"]
+
+
+@query(rf"""WITH tagged AS (SELECT doc_id, regexp_replace(text, '(\[[^\[\]]*\])|({"|".join(sorted(TERMS, key=lambda w: (-len(w), w)))})', '\1' || chr(1) || 'TERM : \2' || chr(2), 'g') AS marked FROM documents)
+SELECT doc_id, CAST(len(regexp_extract_all(annotation, '\[TERM : [^\[\]]*\]')) AS BIGINT) AS tags, md5(annotation) AS annotation_md5
+FROM (SELECT doc_id, translate(replace(marked, chr(1) || 'TERM : ' || chr(2), ''), chr(1) || chr(2), '[]') AS annotation FROM tagged)""")
+def tag_terms(t):
+    """A dictionary with terms that overlap and contain one another, over whole documents."""
+    terms = t.table("documents").limit(1).select(F.explode(F.array(*[F.lit(w) for w in TERMS])).alias("term"), F.lit("TERM").alias("label"))
+    tagged = tagger.tag_dictionary(t.table("documents"), "text", terms, whole_words=False)
+    groups = F.regexp_extract_all("annotation", F.lit(r"\[TERM : [^\[\]]*\]"), 0)
+    return tagged.select("doc_id", F.size(groups).cast("bigint").alias("tags"), F.md5("annotation").alias("annotation_md5"))
+
+
 @query(oracle(["spans"], """
 SELECT ex_id AS doc_id, text, string_agg(substr(text, prev + 1, start - prev) || '[' || kind || ' : ' || substr(text, start + 1, stop - start) || ']', '' ORDER BY start)
   || substr(text, max(stop) + 1) AS annotation
@@ -361,13 +376,23 @@ def label_file(t):
 
 @query("""SELECT CAST(item_id AS VARCHAR) AS name, item_id % 10 <> 0 AND item_id % 7 <> 0 AS passed FROM benchmark""")
 def declared_inputs(t):
-    """Benchmark items as loaded files: every tenth is not declared, every seventh declared with another checksum."""
+    """Benchmark items as loaded files: every tenth is declared by another path, every seventh declared with another checksum."""
     items = t.table("benchmark").select(F.col("item_id").cast("string").alias("path"), "item_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    declared = items.where("item_id % 10 <> 0").withColumn(
+    declared = items.withColumn("path", F.when(F.col("item_id") % 10 == 0, F.concat("path", F.lit(".old"))).otherwise(F.col("path"))).withColumn(
         "sha256", F.when(F.col("item_id") % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
     return G.declared_inputs(items, declared).select("name", "passed")
 
 
+@query("SELECT lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, 2 AS version FROM documents GROUP BY lang")
+def replaced_report(t):
+    """A report replaced twice; a reader gets the last one."""
+    path = fresh_path(t.spark, "report")
+    rows = t.table("documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+    W.replace_report(rows.withColumn("chars", F.lit(0)), path)
+    version = W.replace_report(rows, path)
+    return W.read_report(t.spark, path, "lang string, documents bigint, chars bigint").withColumn("version", F.lit(version))
+
+
 @query("""SELECT vec_id, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings""")
 def embedding_columns(t):
     """The stored table read with its size checked, one column per component."""

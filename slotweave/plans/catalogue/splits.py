@@ -131,14 +131,15 @@ def multiset_difference(t):
 @query(oracle(["log_lines"], """
 SELECT (SELECT count(*) FROM annotated) AS log_rows,
   (SELECT CAST(count(*) AS INTEGER) FROM (SELECT utterance, count(*) AS n FROM annotated GROUP BY 1) a
-    FULL JOIN (SELECT utterance, count(*) AS n FROM annotated WHERE ex_id % 9 <> 0 GROUP BY 1) b ON a.utterance = b.utterance
+    FULL JOIN (SELECT utterance, count(*) AS n FROM corpus GROUP BY 1) b ON a.utterance = b.utterance
     WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)) AS differences,
-  (SELECT CAST(count(*) AS INTEGER) FROM annotated WHERE utterance NOT IN (SELECT utterance FROM annotated WHERE ex_id % 9 <> 0)) AS not_allowed"""))
+  (SELECT CAST(count(*) AS INTEGER) FROM annotated WHERE utterance NOT IN (SELECT utterance FROM corpus)) AS not_allowed""",
+    "corpus AS (SELECT CASE WHEN ex_id % 9 = 0 THEN utterance || '!' ELSE utterance END AS utterance FROM annotated)"))
 def log_matches_corpus(t):
-    """The paired log against a corpus that lacks every ninth example: bag differences, and texts that are not allowed."""
+    """The paired log against a corpus in which every ninth text is another: bag differences, and texts that are not allowed."""
     from slotweave.sources.readers import pair_log_lines
 
-    corpus = t.view("annotated").where("ex_id % 9 <> 0").select("utterance")
+    corpus = t.view("annotated").select(F.when(F.col("ex_id") % 9 == 0, F.concat("utterance", F.lit("!"))).otherwise(F.col("utterance")).alias("utterance"))
     paired = pair_log_lines(t.view("log_lines")).select("utterance")
     return paired.agg(F.count("*").alias("log_rows")).select(
         "log_rows",

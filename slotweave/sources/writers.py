@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +91,55 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").json(path)
 
 
+_POINTER = "current-"
+
+
+def _pointers(spark: SparkSession, path: str):
+    """The file system, the folder, and the names of its pointers in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in files.listStatus(folder)) if files.exists(folder) else []
+    return files, folder, [n for n in names if n.startswith(_POINTER)]
+
+
+def report_version(spark: SparkSession, path: str) -> int:
+    """How often the report has been replaced; 0 before the first time."""
+    pointers = _pointers(spark, path)[2]
+    return int(pointers[-1].removeprefix(_POINTER)) if pointers else 0
+
+
+def replace_report(df: DataFrame, path: str, after: int | None = None) -> int:
+    """Replace a report as a whole: readers see the old one or the new one, never a part, and never none in between.
+
+    Every version is a folder of its own; a pointer to it is written aside and takes the next number by one rename that
+    fails where the number is taken. ``after`` is the version the caller has read (by default the present one); a writer that
+    was overtaken gets an error. One that dies before the rename leaves what readers see as it was.
+    """
+    spark = df.sparkSession
+    present = report_version(spark, path) if after is None else after
+    name = f"version-{uuid.uuid4().hex}"
+    df.coalesce(1).write.mode("errorifexists").json(f"{path}/{name}")
+    hadoop, context = spark._jvm.org.apache.hadoop.fs, spark.sparkContext
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{path}/.{name}")
+    target = f"{path}/{_POINTER}{present + 1:012d}"
+    options = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(context._jsc.hadoopConfiguration()).rename(hadoop.Path(f"{path}/.{name}"), hadoop.Path(target), options)
+    except Py4JJavaError as e:
+        raise RuntimeError(f"the report was replaced by another writer: {path} is beyond version {present}") from e
+    return present + 1
+
+
+def read_report(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The report as it was replaced last."""
+    pointers = _pointers(spark, path)[2]
+    if not pointers:
+        raise FileNotFoundError(f"no report in {path}")
+    name = spark.read.text(f"{path}/{pointers[-1]}").first()["value"]
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(f"{path}/{name}")
+
+
 def write_projection(df: DataFrame, path: str) -> None:
     """Points, labels and values of a plot table, one joined table."""
     write_csv(df.select("x", "y", "label", "value"), path)
