@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import vectors as V
 from slotweave.operators import tiles
-from slotweave.session import stage
+from slotweave.session import broadcast_if_small, stage
+from slotweave.sources.ordinals import number_sorted
 
 PAIR_BLOCK = 4096
+SET_BLOCK = 2048
 
 
 def sets_per_key(metadata: DataFrame, key: str = "utterance", columns: tuple[str, ...] = ("domain", "intent")) -> DataFrame:
@@ -55,25 +57,84 @@ def pair_distances(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFram
     return _with_pair_sums(_moments(df, keys, vec)).select(*keys, "pairs", "distance_sum")
 
 
-def alignment(df: DataFrame, intents: str = "intents", vec: str = "vec") -> DataFrame:
+def _overlap_of_tile(diagonal: bool, intent: int, a: dict[str, np.ndarray | list], b: dict[str, np.ndarray | list]) -> tuple[int, float]:
+    """Pairs of rows of sets of two blocks, and their summed squared distances, for sets that share no smaller intent.
+
+    ``a`` and ``b`` hold numbers of rows n, sums s, sums of squares q and the sorted intents of sets that all have ``intent``.
+    """
+    lower: dict[int, int] = {}
+    for sets in (a["sets"], b["sets"]):
+        for s in sets:
+            for i in s:
+                if i < intent:
+                    lower.setdefault(i, len(lower))
+
+    def masks(sets) -> np.ndarray:
+        out = np.zeros((len(sets), max(1, len(lower))), dtype=np.float32)
+        for row, s in enumerate(sets):
+            for i in s:
+                if i < intent:
+                    out[row, lower[i]] = 1
+        return out
+
+    mb, pairs, total = masks(b["sets"]), 0, 0.0
+    for at in range(0, len(a["n"]), tiles.SLICE):
+        stop = at + tiles.SLICE
+        counts = (masks(a["sets"][at:stop]) @ mb.T) == 0
+        if diagonal:  # each pair of sets once
+            counts &= np.arange(len(b["n"]))[None, :] > (np.arange(len(counts)) + at)[:, None]
+        w = counts.astype(np.float64)
+        n, q, s = a["n"][at:stop], a["q"][at:stop], a["s"][at:stop]
+        pairs += int(n @ (counts.astype(np.int64) @ b["n"]))
+        total += float(q @ (w @ b["n"]) + n @ (w @ b["q"]) - 2.0 * np.einsum("ij,ij->", s, w @ b["s"]))
+    return pairs, total
+
+
+def overlap_sums(per_set: DataFrame, block: int = SET_BLOCK) -> DataFrame:
+    """(pairs, distance_sum) a tile, over all pairs of different sets of ``per_set(set, n, s, q)`` that share an intent.
+
+    ``set`` is a sorted array of numbers. Sets meet under each intent they have, in blocks of bounded size; the smallest intent
+    two sets share speaks for them, which a block knows from bit masks of the smaller ones. A tile gives one row of sums,
+    whatever the number of pairs.
+    """
+    held = per_set.withColumn("_intent", F.explode("set"))
+    sizes = stage(held.groupBy("_intent").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")), "intents")
+    held = held.join(broadcast_if_small(sizes), "_intent").withColumn("_own", tiles.block_of(F.col("set"), F.col("_blocks")))
+    fields = ["set", "n", "s", "q"]
+    left = held.select(*tiles.renewed("_intent"), F.col("_own").alias("_b1"), F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1)).alias("_b2"), *tiles.renewed(*fields))
+    right = held.select(*tiles.renewed("_intent"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_b1"), F.col("_own").alias("_b2"), *tiles.renewed(*fields))
+
+    def side(rows: pa.Table) -> dict:
+        return {"sets": rows.column("set").to_pylist(), "n": rows.column("n").to_numpy(), "q": rows.column("q").to_numpy(), "s": tiles.matrix(rows, "s")}
+
+    def kernel(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        intent, one, two = (k.as_py() for k in key)
+        pairs, total = 0, 0.0
+        if a.num_rows and b.num_rows:
+            first = side(a)
+            pairs, total = _overlap_of_tile(one == two, intent, first, first if one == two else side(b))
+        return pa.table({"pairs": pa.array([pairs], pa.int64()), "distance_sum": pa.array([total], pa.float64())})
+
+    keys = ["_intent", "_b1", "_b2"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, "pairs bigint, distance_sum double")
+
+
+def alignment(df: DataFrame, intents: str = "intents", vec: str = "vec", block: int = SET_BLOCK) -> DataFrame:
     """Mean squared distance of the pairs whose intent sets overlap.
 
     Rows are first summed per intent set. Within a set all pairs count; two different sets count together when
-    they share an intent: they meet at each one, and the smallest shared one speaks for them. For sets of
-    n and m rows the distances between them sum to ``m q + n r - 2 s t`` (squares q, r and sums s, t).
+    they share an intent. For sets of n and m rows the distances between them sum to ``m q + n r - 2 s t`` (squares q, r
+    and sums s, t), which ``overlap_sums`` adds up by tiles. Rows without an intent pair with none.
     """
-    sets = df.select(F.array_sort(F.array_distinct(intents)).alias("_set"), F.col(vec).alias("vec"))
+    sets = df.select(F.array_sort(F.array_distinct(F.filter(intents, lambda i: i.isNotNull()))).alias("_set"), F.col(vec).alias("vec"))
     per_set = stage(_moments(sets.filter(F.size("_set") > 0), ["_set"], "vec"), "moments")
     own = _with_pair_sums(per_set).select("pairs", "distance_sum")
-    spread = per_set.withColumn("_intent", F.explode("_set"))
-    a, b = spread.alias("a"), spread.alias("b")
-    met = a.join(b, F.col("a._intent") == F.col("b._intent")).where(
-        (F.to_json("a._set") < F.to_json("b._set"))
-        & (F.array_min(F.array_intersect("a._set", "b._set")) == F.col("a._intent")))
-    dot = F.aggregate(F.zip_with("a.s", "b.s", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    across = met.select(
-        (F.col("a.n") * F.col("b.n")).cast("bigint").alias("pairs"),
-        (F.col("b.n") * F.col("a.q") + F.col("a.n") * F.col("b.q") - 2 * dot).alias("distance_sum"))
+    # Intents by number: masks compare numbers, whatever the names look like.
+    numbers = stage(number_sorted(per_set.select(F.explode("_set").alias("_name")).distinct(), ["_name"], out="_number"), "numbers")
+    named = per_set.withColumn("_id", F.monotonically_increasing_id())
+    named = stage(named, "named")
+    numbered = named.select("_id", F.explode("_set").alias("_name")).join(broadcast_if_small(numbers), "_name").groupBy("_id").agg(F.array_sort(F.collect_list("_number")).alias("set"))
+    across = overlap_sums(named.join(numbered, "_id").select("set", "n", "s", "q"), block)
     return own.unionByName(across).agg(
         F.sum("pairs").alias("same_intent_pairs"), (F.sum("distance_sum") / F.sum("pairs")).alias("alignment"))
 

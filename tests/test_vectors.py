@@ -268,3 +268,28 @@ def test_codes_find_neighbours_in_few_cells(spark):
     every = search.code_matches(q, refs, k=5, known=known, placed=placed, probes=len(known.centres), shortlist=1200)
     key = lambda df: sorted(map(tuple, df.select("qid", "rank", "ref_idx").collect()))
     assert key(every) == key(search.top_matches(q, refs, k=5))
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_overlap_sums_equal_all_pairs(spark, block):
+    """Sets of several intents, one of them in most sets; empty and null sets pair with none."""
+    rng = np.random.default_rng(7)
+    names = ["hot", "b", "a10", "a9", "Z", "é"]
+    sets = [sorted({"hot"} if rng.random() < 0.6 else set(), key=str) + [names[i] for i in rng.integers(1, 6, rng.integers(0, 4))] for _ in range(70)]
+    sets[3], sets[4] = [], None
+    m = rng.normal(size=(70, 4))
+    df = spark.createDataFrame([(i, s, [float(x) for x in v]) for i, (s, v) in enumerate(zip(sets, m))], "id long, intents array<string>, vec array<double>")
+    want = [((m[i] - m[j]) ** 2).sum() for i in range(70) for j in range(i) if set(sets[i] or []) & set(sets[j] or [])]
+    got = pairs.alignment(df.withColumn("vec", F.col("vec")), block=block).first()
+    assert got["same_intent_pairs"] == len(want) and np.isclose(got["alignment"], np.mean(want))
+
+
+def test_many_sets_under_one_intent_give_a_row_a_tile(spark):
+    n = 6000
+    rows = spark.range(n).select(F.array(F.lit(0).cast("long"), F.col("id") + 1).alias("set"), F.lit(1).cast("long").alias("n"),
+                                 F.array(F.col("id").cast("double"), F.lit(1.0)).alias("s"), (F.col("id") * F.col("id") + 1.0).alias("q"))
+    sums = pairs.overlap_sums(rows, block=1000)
+    out = sums.agg(F.count("*").alias("tiles"), F.sum("pairs").alias("pairs"), F.sum("distance_sum").alias("d")).first()
+    ids = np.arange(n, dtype=float)
+    assert out["pairs"] == n * (n - 1) // 2 and out["d"] == n * (ids ** 2).sum() - ids.sum() ** 2
+    assert out["tiles"] <= 6 * 7 // 2 + 6 + n  # the sets' own intents are tiles of one
