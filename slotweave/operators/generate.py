@@ -1,10 +1,10 @@
 """Slot-substitution generation.
 
 Every example is a mixed-radix counter: slot i has the values of its kind, the last slot runs fastest.
-The counter is cut behind its last slots, as many as have at most CHUNK combinations together. A row per
-(example, combination of the slots before the cut) is spread over the cluster, and the slots after the
-cut are multiplied out there: no task holds more than CHUNK texts of an example at a time, however many
-combinations the example has.
+The counter is cut inside the slot behind which at most CHUNK combinations lie: a chunk is one combination of the slots before,
+as many values of that slot as still fit, and all of the slots after it. Ranges of chunks are spread over the cluster and multiplied
+out there, chunk by chunk: no task holds more than CHUNK texts of an example at a time, however many combinations
+the example or values the slot has.
 
 Removing repeated texts inside an example needs no shuffle of generated rows: a combination is kept
 exactly when it is the first one that spells its text, which the row can decide by itself.
@@ -31,6 +31,9 @@ MANY = 2**40
 
 # Generated rows a task should make; the number of tasks follows from the expected output.
 ROWS_PER_TASK = 2_000_000
+# Chunks in a range, which one task multiplies out, and ranges counted out of one row.
+RANGE = 64
+RANGES = 4096
 
 _SLOTS = "array<struct<lit:string,cands:array<string>,stride:bigint>>"
 
@@ -235,21 +238,54 @@ def task_count(planned: DataFrame) -> int:
     return max(least, math.ceil(expected / ROWS_PER_TASK))
 
 
+def _cut(planned: DataFrame) -> DataFrame:
+    """Where each example's counter is cut: ``_place`` of the slot, ``_block`` combinations behind it, ``_wide`` of its values a chunk.
+
+    As many slots as have at most CHUNK combinations together lie behind the cut; of the slot at the cut, which may have any
+    number of values, a chunk takes as many as still fit.
+    """
+    slots, one = F.col("slots"), F.lit(1).cast("bigint")
+    strides = F.concat(F.transform(slots, lambda s: s["stride"]), F.array("combinations"))
+    block = F.coalesce(F.array_max(F.filter(strides, lambda x: (x >= 1) & (x <= CHUNK))), one)
+    rows = planned.withColumn("_block", block)
+    place = F.coalesce(F.array_position(F.transform(slots, lambda s: F.coalesce(s["cands"].isNotNull() & (s["stride"] == F.col("_block")), F.lit(False))), True), F.lit(0))
+    rows = rows.withColumn("_place", place.cast("int")).withColumn("_wide", F.greatest(X.int_div(F.lit(CHUNK).cast("bigint"), F.col("_block")), one))
+    values = F.when(F.col("_place") > 0, F.size(F.get(slots, F.col("_place") - 1)["cands"])).otherwise(1)
+    rows = rows.withColumn("_values", F.greatest(values.cast("bigint"), one))
+    # Chunks of one turn of the slot at the cut, and of all; a cap may end inside a turn.
+    turn, size = F.col("_block") * F.col("_values"), F.col("_block") * F.col("_wide")
+    rows = rows.withColumn("_parts", X.int_div(F.col("_values") + F.col("_wide") - 1, F.col("_wide")))
+    rest = F.col("total") - X.int_div(F.col("total"), turn) * turn
+    chunks = X.int_div(F.col("total"), turn) * F.col("_parts") + X.int_div(rest + size - 1, size)
+    return rows.withColumn("_chunks", F.greatest(chunks, one))
+
+
+def _ranges(count: Column, size: int, name: str) -> Column:
+    """0, 1, ... for each ``size`` of ``count`` things."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), X.int_div(count - 1, F.lit(size).cast("bigint")))).alias(name)
+
+
+def _inside(number: Column, count: Column, size: int, name: str) -> Column:
+    """The things of range ``number``."""
+    return F.explode(F.sequence(number * size, F.least(number * size + size, count) - 1)).alias(name)
+
+
 def expand(planned: DataFrame, with_depth: bool = False, partitions: int | None = None) -> DataFrame:
     """Original first (variant 0), then the distinct products in order (variant = index + 1).
 
-    ``with_depth`` adds the smallest depth k at which the text appears; 0 for originals.
+    ``with_depth`` adds the smallest depth k at which the text appears; 0 for originals. Chunks are counted out as a tree: ranges
+    of ranges, ranges, which are dealt over the tasks, and the chunks of a range; no row holds more than a level of it.
     """
     n = partitions or task_count(planned)
-    one, slots, block = F.lit(1).cast("bigint"), F.col("slots"), F.col("_block")
-    strides = F.concat(F.transform(slots, lambda s: s["stride"]), F.array("combinations"))
-    fitting = F.array_max(F.filter(strides, lambda x: (x >= 1) & (x <= CHUNK)))
-    sized = planned.withColumn("_risky", may_collide(slots)).withColumn("_block", F.coalesce(fitting, one))
-    chunks = F.greatest(X.int_div(F.col("total") + block - 1, block), one)
-    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))
-    spread = sized.withColumn("_chunk", chunk).withColumn("_first", F.col("_chunk") * block).drop("_chunk").repartition(
-        n, "source", "ex_id", "_first"
-    )
+    slots = F.col("slots")
+    sized = _cut(planned.withColumn("_risky", may_collide(slots)))
+    ranges = X.int_div(F.col("_chunks") + RANGE - 1, F.lit(RANGE).cast("bigint"))
+    dealt = sized.withColumn("_ranges", ranges).select("*", _ranges(F.col("_ranges"), RANGES, "_far"))
+    dealt = dealt.select("*", _inside(F.col("_far"), F.col("_ranges"), RANGES, "_near")).drop("_far", "_ranges")
+    spread = dealt.repartition(n, "source", "ex_id", "_near").select("*", _inside(F.col("_near"), F.col("_chunks"), RANGE, "_chunk"))
+    lead, part = X.int_div(F.col("_chunk"), F.col("_parts")), F.col("_chunk") % F.col("_parts")
+    spread = spread.withColumn("_from", part * F.col("_wide")).withColumn(
+        "_first", lead * F.col("_block") * F.col("_values") + F.col("_from") * F.col("_block"))
     spelt = spread.withColumn("_t", F.explode(_chunk_texts(with_depth)))
     original = F.col("_t.variant") == 0
     spelt = spelt.filter(original | (F.col("_t.text") != F.col("utterance"))).withColumn(
@@ -266,9 +302,10 @@ def _chunk_texts(with_depth: bool) -> Column:
 
     The generator spells them, not a projection: a filter behind a projection would spell them twice.
     """
-    slots, first, block, zero = F.col("slots"), F.col("_first"), F.col("_block"), F.lit(0).cast("bigint")
-    lead = F.filter(slots, lambda s: s["stride"] >= block)
-    tail = F.filter(slots, lambda s: s["stride"] < block)
+    slots, first, place, zero = F.col("slots"), F.col("_first"), F.col("_place"), F.lit(0).cast("bigint")
+    lead = F.slice(slots, F.lit(1), F.greatest(place - 1, F.lit(0)))
+    tail = F.slice(slots, place + 1, F.greatest(F.size(slots), F.lit(1)))
+    at_cut = F.slice(F.get(slots, place - 1)["cands"], (F.col("_from") + 1).cast("int"), F.col("_wide").cast("int"))
 
     def text(value, depth):
         fields = [value.alias("text")] + ([depth.alias("depth")] if with_depth else [])
@@ -290,8 +327,11 @@ def _chunk_texts(with_depth: bool) -> Column:
         fixed = F.transform(acc, lambda a: text(F.concat(a["text"], s["lit"]), depth_of(a)))
         return F.when(s["cands"].isNull(), fixed).otherwise(grown)
 
-    start = F.array(text(spell(lead, first), _deepest_rank(lead, first)))
-    products = F.slice(F.aggregate(tail, start, multiply), F.lit(1), F.least(block, F.col("total") - first).cast("int"))
+    before, deepest = spell(lead, first), _deepest_rank(lead, first)
+    values = F.transform(at_cut, lambda c, j: text(F.concat(before, c), F.greatest(deepest, F.col("_from") + j.cast("bigint") + 1)))
+    start = F.when(place > 0, values).otherwise(F.array(text(before, deepest)))
+    here = F.least(F.col("_wide") * F.col("_block"), F.col("total") - first)
+    products = F.slice(F.aggregate(tail, start, multiply), F.lit(1), here.cast("int"))
 
     def numbered(t, i):
         fields = [(first + i.cast("bigint") + 1).alias("variant"), t["text"].alias("text")]

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from slotweave.functions import annotation as A
@@ -158,3 +159,26 @@ def test_pooled_and_isolated_heldout(spark):
     isolated = {r["utterance"] for r in corpus.augment(df, 2, ["source"]).collect()}
     pooled = {r["utterance"] for r in corpus.augment(df, 2, []).collect()}
     assert isolated == {"massive own", "cross source"} and pooled == set()
+
+
+@pytest.mark.parametrize("sizes, cap", [([3000], None), ([3, 2500, 2], None), ([5000, 1, 1], 4321), ([2, 1, 2100], 3000), ([1000, 1000, 1000], 9_000), ([7, 2049], 2050)])
+def test_counters_are_cut_inside_wide_slots(spark, monkeypatch, sizes, cap):
+    """Slots with more values than a chunk, and 10^9 combinations under a cap, in order and without gaps."""
+    monkeypatch.setattr(G, "RANGE", 3)
+    monkeypatch.setattr(G, "RANGES", 5)
+    values = [[f"{chr(97 + i)}{n}" for n in range(size)] for i, size in enumerate(sizes)]
+    annotation = " ".join(f"[{chr(112 + i)} : x]" for i in range(len(sizes)))
+    ex = examples(spark, [("s", 1, " ".join("x" for _ in sizes), annotation)])
+    vo = vocab_df(spark, [("s", chr(112 + i), n + 1, v, 1) for i, vs in enumerate(values) for n, v in enumerate(vs)])
+    got = {r["variant"]: r["utterance"] for r in G.generate(ex, vo, cap=cap).select("variant", "utterance").collect()}
+    want = {0: " ".join("x" for _ in sizes)}
+    want |= {n + 1: " ".join(c) for n, c in enumerate(itertools.islice(itertools.product(*values), cap))}
+    assert got == want
+
+
+def test_depths_inside_wide_slots(spark, monkeypatch):
+    monkeypatch.setattr(G, "CHUNK", 8)
+    ex = examples(spark, [("s", 1, "x y", "[p : x] [q : y]")])
+    vo = vocab_df(spark, [("s", k, n + 1, f"{k}{n}", 1) for k, size in (("p", 30), ("q", 3)) for n in range(size)])
+    got = G.expand(G.plan_examples(ex.withColumn("pattern", F.lit("")), vo), with_depth=True).collect()
+    assert {(r["utterance"], r["depth"]) for r in got} == {("x y", 0)} | {(f"p{a} q{b}", max(a, b) + 1) for a in range(30) for b in range(3)}
