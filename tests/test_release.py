@@ -245,3 +245,27 @@ def test_reports_and_projection(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).first()["y"] == -1.0
     with pytest.raises(Exception):
         W.write_report(rows, str(tmp_path / "report"))
+
+
+def test_only_differing_ranges_are_read(spark, tmp_path, monkeypatch):
+    """One planted row of 40,000: the trees part in one leaf, and rows of that leaf alone are compared."""
+    rows = spark.range(40_000).select(
+        F.concat(F.lit("u"), "id").alias("utterance"), F.lit("p").alias("pattern"), F.lit(0).cast("long").alias("slot_count"),
+        F.when(F.col("id") < 30_000, "a").otherwise("b").alias("source"), F.when(F.col("id") < 30_000, F.col("id")).otherwise(F.col("id") - 30_000).alias("source_row"))
+    wrong = (F.col("source") == "a") & (F.col("source_row") == 12_345)
+    other = rows.withColumn("utterance", F.when(wrong, "x").otherwise(F.col("utterance")))
+    columns, read = ["utterance", "pattern", "slot_count"], []
+    expected, actual = (D.leaf_digests(df, columns, "source_row", ["source"]) for df in (rows, other))
+    ranges = D.differing_ranges(expected, actual, ["source"])
+    assert [tuple(r) for r in ranges.collect()] == [("a", 12_345 // D.FANOUT)]
+    plain = P.content_differences
+    monkeypatch.setattr(P, "content_differences", lambda a, b, *rest: read.extend([a.count(), b.count()]) or plain(a, b, *rest))
+    assert [tuple(r) for r in P.changed_rows(rows, other, columns, expected, actual).collect()] == [("a", 12_345)]
+    assert read == [D.FANOUT, D.FANOUT]
+    # A missing row, a repeated number and a gap are told by the leaves, too.
+    for bad in (rows.where("NOT (source = 'b' AND source_row = 9999)"), rows.unionByName(rows.where("source = 'b' AND source_row = 5")),
+                rows.withColumn("source_row", F.when((F.col("source") == "b") & (F.col("source_row") > 700), F.col("source_row") + 1).otherwise(F.col("source_row")))):
+        path = str(tmp_path / f"r{len(read)}")
+        read.append(0)
+        W.write_per_source_parquet(bad, path)
+        assert {r["source"]: r["verified"] for r in P.verify_round_trip(spark, rows, path).collect()} == {"a": True, "b": False}
