@@ -42,15 +42,6 @@ def digest_agreement(results: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_runs(grid: DataFrame) -> DataFrame:
-    """Conditions x seeds, or result files, listed more than once."""
-    by_cell = grid.groupBy("condition", "seed").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(
-        F.concat_ws("/", "condition", F.col("seed").cast("string")).alias("item"), "n"
-    )
-    by_file = grid.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col("file").alias("item"), "n")
-    return by_cell.unionByName(by_file)
-
-
 def missing_runs(results: DataFrame) -> DataFrame:
     return results.filter(~F.col("available")).select("condition", "seed", "file")
 
