@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotweave.session import stage
-from slotweave.sources.ordinals import number_rows
+from slotweave.sources.ordinals import number_rows, number_sorted
 
 BLOCK_TURNS = 1024
 BLOCK_IDS = 512
@@ -28,21 +28,26 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def placed(conversations: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text): turns by their place, from 0, in the order of turn numbers.
+    """(conv_id, place, role, text): turns by their place, from 0, in the order of turn numbers, then role and text.
 
-    Rows without conversation or turn number belong to no conversation and are left out. Rows that repeat a turn
-    number get places of their own, by role and text.
+    Turns without a number come behind those with one. Rows without conv_id are a conversation of their own. Rows that
+    repeat a turn number get places of their own.
     """
-    rows = conversations.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    block = F.floor(F.col("turn") / BLOCK_TURNS)
-    return number_rows(rows, ["turn", "role", "text"], [block], ["conv_id"], out="place").select("conv_id", "place", "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", "text", F.col("turn").isNull().alias("late"))
+    return number_sorted(rows, ["late", "turn", "role", "text"], ["conv_id"], out="place").select("conv_id", "place", "role", "text")
+
+
+def _meet(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join on one column in which null meets null."""
+    right = right.withColumnRenamed(key, "_key")
+    return left.join(right, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def spliced(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns (pair_id, place, role, text) made of placed conversations.
 
     Chosen is each conversation as it is; rejected keeps the first half of its turns (rounded down) and goes on with
-    the turns that the next conversation, by id (after the last the first), has from there.
+    the turns that the next conversation, by id, null first (after the last the first), has from there.
     """
     sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
     order = stage(number_rows(sizes, ["conv_id"], [F.floor(F.col("conv_id") / BLOCK_IDS)], out="idx"), "order")
@@ -51,8 +56,8 @@ def spliced(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = stage(order.join(follows, "idx").select(
         F.col("conv_id").alias("pair_id"), F.floor(F.col("n") / 2).alias("half"), "other"), "pairs")
     chosen = turns.withColumnRenamed("conv_id", "pair_id")
-    own = chosen.join(pairs.select("pair_id", "half"), "pair_id").where("place < half")
-    rest = turns.withColumnRenamed("conv_id", "other").join(pairs, "other").where("place >= half")
+    own = _meet(chosen, pairs.select("pair_id", "half"), "pair_id").where("place < half")
+    rest = _meet(turns.withColumnRenamed("conv_id", "other"), pairs, "other").where("place >= half")
     columns = ["pair_id", "place", "role", "text"]
     return chosen.select(*columns), own.select(*columns).unionByName(rest.select(*columns))
 
@@ -65,7 +70,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, trained_role: str = TRA
     its completion is empty. A pair with one side only has no prompt.
     """
     a, b = chosen.alias("a"), rejected.alias("b")
-    on = (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("a.place") == F.col("b.place"))
+    on = F.col("a.pair_id").eqNullSafe(F.col("b.pair_id")) & (F.col("a.place") == F.col("b.place"))
     same = F.col("a.role").eqNullSafe(F.col("b.role")) & F.col("a.text").eqNullSafe(F.col("b.text"))
     missing = F.col("a.place").isNull() | F.col("b.place").isNull()
     parting = a.join(b, on, "full_outer").select(
@@ -75,7 +80,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, trained_role: str = TRA
     shared = F.col("parts").isNull() | (F.col("place") < F.col("parts"))
 
     def side(turns: DataFrame, name: str) -> DataFrame:
-        return turns.join(parting, "pair_id").withColumn("part", F.when(shared, "prompt").otherwise(name)).drop("parts")
+        return _meet(turns, parting, "pair_id").withColumn("part", F.when(shared, "prompt").otherwise(name)).drop("parts")
 
     rows = side(chosen, "chosen").unionByName(side(rejected, "rejected").where("part = 'rejected'"))
     rows = rows.select("pair_id", "part", "place", "role", rendered(F.col("role"), F.col("text")).alias("content"))
@@ -86,7 +91,10 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, trained_role: str = TRA
     upto = Window.partitionBy("pair_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("pair_id", "part", "block", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("before"))
     inside = Window.partitionBy("pair_id", "part", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    placed_rows = rows.withColumn("here", F.coalesce(F.sum("length").over(inside), F.lit(0))).join(sums, ["pair_id", "part", "block"])
+    placed_rows = rows.withColumn("here", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in ("pair_id", "part", "block")], "before")
+    same_block = F.col("pair_id").eqNullSafe(F.col("_pair_id")) & (F.col("part") == F.col("_part")) & (F.col("block") == F.col("_block"))
+    placed_rows = placed_rows.join(sums, same_block)
     trained = (F.col("part") != "prompt") & F.coalesce(F.col("role") == trained_role, F.lit(False))
     return placed_rows.select(
         "pair_id", "part", "place", "role", "content", (F.col("before") + F.col("here")).alias("start"), "length",
@@ -102,18 +110,19 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same in DuckDB's SQL."""
     content = f"'{START}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{END}' || chr(10)"
-    return f"""WITH turns AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-convs AS (SELECT conv_id, count(*) // 2 AS half, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS other FROM turns GROUP BY conv_id),
+    return f"""WITH turns AS (SELECT conv_id, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn IS NULL, turn, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM conversations),
+sizes AS (SELECT conv_id, count(*) // 2 AS half, row_number() OVER (ORDER BY conv_id NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM turns GROUP BY conv_id),
+convs AS (SELECT a.conv_id, a.half, b.conv_id AS other FROM sizes a JOIN sizes b ON b.i = (a.i + 1) % a.n),
 chosen AS (SELECT conv_id AS pair_id, place, role, text FROM turns),
-rejected AS (SELECT t.conv_id AS pair_id, place, role, text FROM turns t JOIN convs USING (conv_id) WHERE place < half
-  UNION ALL SELECT c.conv_id, place, role, text FROM turns t JOIN convs c ON t.conv_id = c.other WHERE place >= half),
+rejected AS (SELECT t.conv_id AS pair_id, place, role, text FROM turns t JOIN convs c ON t.conv_id IS NOT DISTINCT FROM c.conv_id WHERE place < half
+  UNION ALL SELECT c.conv_id, place, role, text FROM turns t JOIN convs c ON t.conv_id IS NOT DISTINCT FROM c.other WHERE place >= half),
 parting AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id,
   min(CASE WHEN a.place IS NULL OR b.place IS NULL OR a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text THEN coalesce(a.place, b.place) END) AS parts
-  FROM chosen a FULL JOIN rejected b ON a.pair_id = b.pair_id AND a.place = b.place GROUP BY 1),
-pieces AS (SELECT pair_id, CASE WHEN parts IS NULL OR place < parts THEN 'prompt' ELSE 'chosen' END AS part, place, role, {content} AS content
-  FROM chosen JOIN parting USING (pair_id)
-  UNION ALL SELECT pair_id, 'rejected', place, role, {content} FROM rejected JOIN parting USING (pair_id) WHERE place >= parts)
+  FROM chosen a FULL JOIN rejected b ON a.pair_id IS NOT DISTINCT FROM b.pair_id AND a.place = b.place GROUP BY 1),
+pieces AS (SELECT c.pair_id, CASE WHEN parts IS NULL OR place < parts THEN 'prompt' ELSE 'chosen' END AS part, place, role, {content} AS content
+  FROM chosen c JOIN parting p ON c.pair_id IS NOT DISTINCT FROM p.pair_id
+  UNION ALL SELECT r.pair_id, 'rejected', place, role, {content} FROM rejected r JOIN parting p ON r.pair_id IS NOT DISTINCT FROM p.pair_id WHERE place >= parts)
 SELECT pair_id, part, place, role, content, coalesce(sum(length(content)) OVER (PARTITION BY pair_id, part ORDER BY place
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(content) AS length,
   part <> 'prompt' AND coalesce(role = '{TRAINED_ROLE}', false) AS trained FROM pieces"""

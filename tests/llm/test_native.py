@@ -2,6 +2,7 @@ import math
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from slotweave.llm import licences, preferences, urls
@@ -118,14 +119,24 @@ def test_preferences_odd_rows(spark):
     talk = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, part string")
     got = preferences.format_conversations(talk).collect()
     parts = {}
-    for r in sorted(got, key=lambda r: (r["pair_id"], r["part"], r["place"])):
+    for r in sorted(got, key=lambda r: (r["pair_id"] or 0, r["part"], r["place"])):
         assert r["start"] == sum(len(x["content"]) for x in parts.get((r["pair_id"], r["part"]), [])) and r["length"] == len(r["content"])
         parts.setdefault((r["pair_id"], r["part"]), []).append(r)
     text = {k: "".join(r["content"] for r in v) for k, v in parts.items()}
     assert "hi" in text[1, "prompt"] and "a" in text[1, "prompt"] and (1, "chosen") in text
     assert not any(r["trained"] for r in got if r["part"] == "prompt")
     assert all(r["trained"] == (r["role"] == "assistant") for r in got if r["part"] != "prompt")
-    assert {r["pair_id"] for r in got} == {1, 2, 3}
+    assert {r["pair_id"] for r in got} == {1, 2, 3, 4, None}  # turns without a number or a conversation are kept
+    assert all("x" in text.get((i, "prompt"), "") + text.get((i, "chosen"), "") for i in (4, None))
+    # All rows stand in the chosen side once, null turns behind the numbered ones; the oracle says the same.
+    more = rows + [(1, None, "assistant", "late"), (1, None, None, None), (None, None, None, "y")]
+    table = pa.Table.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), r)) for r in more])
+    con = duckdb.connect()
+    con.register("conversations", table)
+    want = con.sql(ORACLES["op7_preferences"])
+    out = preferences.format_conversations(spark.createDataFrame(more, "conv_id long, turn long, role string, text string"))
+    assert sorted(map(tuple, out.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert sum(r["part"] != "rejected" for r in out.collect()) == len(more)
     assert preferences.format_conversations(talk.limit(0)).collect() == []
 
 
