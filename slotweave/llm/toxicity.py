@@ -1,7 +1,8 @@
 """Toxicity scores from a learned lexicon, misspellings included, weighed by how the terms are used.
 
 The lexicon holds whole words and stems (beginnings shared by several words) that are far commoner in toxic
-than in clean labelled documents, in many different contexts and documents, so copies of one text teach nothing.
+than in clean labelled documents, beyond what chance would bring about among so many terms. Contexts and documents
+are counted once, and near copies mostly share the passage a document is known by, so copies of one text teach little.
 Its words form a trie; Levenshtein automata run along it, both made deterministic step by step, so a
 word costs one lookup per character and most are left after two or three. Few edits are allowed, by word length,
 and near misses known from clean documents are none. A found term counts less inside quotation marks or
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,17 +28,21 @@ from slotweave.llm.common import held_out, labelled, small_batches, text_udf
 from slotweave.session import stage
 
 LEARN_ROWS = 12_000  # labelled rows read for learning
-SUPPORT, SUPPORT_SHARE = 4, 0.015  # contexts and documents with a term: at least, and as a share of the toxic ones
+SUPPORT = 4  # different contexts and documents with a term, at least
+FALSE_TERMS = 1.0  # terms that chance alone may bring into the lexicon, expected over all terms tested
 RATIO, STEM_RATIO = 20.0, 8.0  # how much commoner a word, a stem is in toxic documents
 ENOUGH = 3.0  # log ratio beyond which a longer stem is no better than a commoner one
-STEMS, STEM_WORDS, STEM_SUPPORT = range(4, 9), 8, 2  # lengths of stems; different words, and times the support, a stem must have
+STEMS, STEM_WORDS, STEM_SUPPORT = range(4, 9), 8, 2  # lengths of stems; different words, and times the evidence, a stem must have
 EDITS = ((5, 1), (9, 2))  # from this length on, so many edits
 EDIT_FACTOR, QUOTED_FACTOR = 0.5, 0.3
 WINDOW = 3  # words around a term that are looked at for quotation
 THRESHOLD = 0.5
-MEMO_WORDS = 200_000
+MEMO_WORDS, MEMO_CHARS = 200_000, 64  # words remembered, and the longest of them
+COUNTED = 500_000  # terms that a task counts before it hands them on
+PASSAGE = 3  # words of the passages that tell documents apart
 
-_TOKEN = re.compile(r"[^\W_](?:\S{0,62}[^\W_])?")
+_TOKEN = re.compile(r"[^\W_](?:\S*[^\W_])?")
+_RUN = re.compile(r"\S+")
 _FOLD = str.maketrans("013457@$!", "oieastasi")  # signs that stand for letters
 
 # Quotation marks, and words that report speech or name a word.
@@ -141,14 +147,24 @@ class Matcher:
             found = None
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
-        self.memo[word] = found
+        if len(word) <= MEMO_CHARS:
+            self.memo[word] = found
         return found
 
 
-def quoted(text: str, start: int, stop: int) -> bool:
-    """Whether a term stands between quotation marks a few words apart, or behind a word that reports."""
-    before, after = text[max(0, start - 80):start].split()[-WINDOW:], text[stop:stop + 80].split()[:WINDOW]
-    if text[start - 1:start] in tuple(_OPEN) and start:
+def quoted(text: str, start: int, stop: int, runs: list[int], ends: list[int]) -> bool:
+    """Whether a term stands between quotation marks a few words apart, or behind a word that reports.
+
+    ``runs`` and ``ends`` are where the words of the text start and end, whatever their length.
+    """
+    at, last = bisect_right(runs, start) - 1, bisect_right(runs, stop - 1) - 1
+    before = [text[i:j] for i, j in zip(runs[max(0, at - WINDOW):at], ends[max(0, at - WINDOW):at])]
+    after = [text[i:j] for i, j in zip(runs[last + 1:last + 1 + WINDOW], ends[last + 1:last + 1 + WINDOW])]
+    if runs[at] < start:
+        before = [*before, text[runs[at]:start]][-WINDOW:]
+    if stop < ends[last]:
+        after = [text[stop:ends[last]], *after][:WINDOW]
+    if start and text[start - 1] in _OPEN:
         before.append(text[start - 1])
     opens = any(w[0] in _OPEN for w in before)
     closes = any(w[-1] in _CLOSE or w[0] in _CLOSE or w.rstrip(".,;:!?")[-1:] in tuple(_CLOSE) for w in after)
@@ -161,7 +177,9 @@ def hits(text: str, matcher: Matcher) -> list[tuple[str, str, float, int, bool]]
     bad = {w for w in set(_TOKEN.findall(low)) if matcher.find(w) is not None}
     if not bad:
         return []
-    return [(m[0], *matcher.find(m[0]), quoted(low, m.start(), m.end())) for m in _TOKEN.finditer(low) if m[0] in bad]
+    spans = [m.span() for m in _RUN.finditer(low)]
+    runs, ends = [i for i, _ in spans], [j for _, j in spans]
+    return [(m[0], *matcher.find(m[0]), quoted(low, m.start(), m.end(), runs, ends)) for m in _TOKEN.finditer(low) if m[0] in bad]
 
 
 def mass(found: list[tuple[str, str, float, int, bool]]) -> float:
@@ -177,58 +195,123 @@ def probability(lexicon: Lexicon, total: float, words: int) -> float:
 def _terms(words: list[str]) -> Iterator[tuple[str, str, int]]:
     """(term, word, place) of words and of their stems."""
     for i, w in enumerate(words):
-        if 3 <= len(w) <= 24:
+        if len(w) >= 3:
             yield w, w, i
             for size in STEMS:
                 if len(w) > size:
                     yield w[:size] + "*", w, i
 
 
+def _code(*parts: str) -> int:
+    return zlib.crc32(" ".join(parts).encode())
+
+
+def passage(words: list[str]) -> int:
+    """What a document is known by: the least code of its passages, which near copies mostly share."""
+    return min(_code(*words[i:i + PASSAGE]) for i in range(max(1, len(words) - PASSAGE + 1)))
+
+
+def uses(words: list[str]) -> dict[str, set[tuple[int, int]]]:
+    """The (context, word) codes of every term of a text; a context is the words beside it."""
+    found: dict[str, set[tuple[int, int]]] = {}
+    for term, word, i in _terms(words):
+        found.setdefault(term, set()).add((_code(*words[max(0, i - 1):i], "_", *words[i + 1:i + 2]), _code(word)))
+    return found
+
+
 def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    code = lambda *parts: zlib.crc32(" ".join(parts).encode())
+    """A row per document and term, with its contexts."""
+    kind = pa.list_(pa.struct([("context", pa.int64()), ("word", pa.int64())]))
     for batch in batches:
         for text in batch.column("text").to_pylist():
             words = _TOKEN.findall((text or "").lower())
-            first, last, doc = code(*words[:3]), code(*words[-3:]), code(*words)
-            seen, rows = set(), []
-            for term, word, i in _terms(words):
-                context = code(*words[max(0, i - 1):i], "_", *words[i + 1:i + 2])
-                if (term, context) not in seen:
-                    seen.add((term, context))
-                    rows.append((term, context, zlib.crc32(word.encode()), first, last, doc))
-            if rows:
-                names = ["term", "context", "word", "first", "last", "doc"]
-                kinds = [pa.string()] + [pa.int64()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-
-def _clean_counts(candidates: set[str]):
+            found = uses(words)
+            if found:
+                places = [[{"context": c, "word": w} for c, w in sorted(places)] for places in found.values()]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(list(found), type=pa.string()), pa.array([passage(words)] * len(found), type=pa.int64()),
+                    pa.array(places, type=kind)], names=["term", "doc", "uses"])
+
+
+def _clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of documents per term, added up as far as memory allows."""
+    count: Counter[str] = Counter()
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(count), type=pa.string()), pa.array(list(count.values()), type=pa.int64())], names=["term", "n"])
+
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            count.update({t for t, _, _ in _terms(list(set(_TOKEN.findall((text or "").lower()))))})
+            if len(count) >= COUNTED:
+                yield rows()
+                count.clear()
+    yield rows()
+
+
+def _sample_hits(lexicon: Lexicon):
+    """A row per document: the mass of its sure terms, and of every near miss."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[str] = Counter()
+        matcher = Matcher(lexicon)
+        kind = pa.list_(pa.struct([("word", pa.string()), ("mass", pa.float64())]))
         for batch in batches:
+            sure, near, size = [], [], []
             for text in batch.column("text").to_pylist():
-                count.update({t for t, _, _ in _terms(list(set(_TOKEN.findall((text or "").lower())))) if t in candidates})
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), type=pa.string()), pa.array(list(count.values()), type=pa.int64())], names=["term", "n"])
+                found, misses = hits(text or "", matcher), Counter()
+                for hit in found:
+                    if hit[3]:
+                        misses[hit[0]] += mass([hit])
+                sure.append(mass([hit for hit in found if not hit[3]]))
+                near.append([{"word": w, "mass": m} for w, m in sorted(misses.items())])
+                size.append(len((text or "").split()))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("y").cast(pa.int32()), pa.array(sure, type=pa.float64()), pa.array(near, type=kind), pa.array(size, type=pa.int64())],
+                names=["y", "sure", "near", "size"])
 
     return run
 
 
-def _sample_hits(lexicon: Lexicon):
+def _masses(clean: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(lexicon)
         for batch in batches:
-            found = [hits(text or "", matcher) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("y").cast(pa.int32()), pa.array([[h[0] for h in f] for f in found], type=pa.list_(pa.string())),
-                pa.array([[h[2] for h in f] for f in found], type=pa.list_(pa.float64())),
-                pa.array([[h[3] for h in f] for f in found], type=pa.list_(pa.int32())),
-                pa.array([[h[4] for h in f] for f in found], type=pa.list_(pa.bool_())),
-                pa.array([len((text or "").split()) for text in batch.column("text").to_pylist()], type=pa.int64())],
-                names=["y", "words", "weights", "edits", "quoted", "size"])
+            total = [sure + sum(x["mass"] for x in near if x["word"] not in clean)
+                     for sure, near in zip(batch.column("sure").to_pylist(), batch.column("near").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("y"), pa.array(total, type=pa.float64()), batch.column("size")], names=["y", "mass", "size"])
 
     return run
 
 
+def evidence(n: int, m: int, toxic: int, clean: int) -> float:
+    """How unlikely it is that n of the n + m documents with a term are toxic by chance, as a negative logarithm (Chernoff)."""
+    share, base = n / (n + m), toxic / (toxic + clean)
+    if share <= base:
+        return 0.0
+    rest = (1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0
+    return (n + m) * (share * math.log(share / base) + rest)
+
+
+def choose(candidates: dict[str, tuple[int, int, int]], toxic: int, clean: int, tested: int) -> Lexicon:
+    """The lexicon from terms with (toxic documents, the fewer of these and of contexts, clean documents).
+
+    ``tested`` is the number of terms of toxic documents that are in SUPPORT documents of any kind; others cannot tell.
+    """
+    lexicon, bound = Lexicon(), math.log(max(1, tested) / FALSE_TERMS)
+    weights = {}
+    for t, (docs, n, m) in candidates.items():
+        if evidence(n, m, toxic, clean) >= bound * (STEM_SUPPORT if t.endswith("*") else 1):
+            weights[t] = math.log((docs + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (clean + 1))
+    # Of stems that go on from one another, the one that is common and telling enough stands for all.
+    stems = [t[:-1] for t, w in weights.items() if t.endswith("*") and w >= math.log(STEM_RATIO)]
+    for stem in sorted(stems, key=lambda x: (-candidates[x + "*"][0] * min(ENOUGH, weights[x + "*"]), len(x), x)):
+        if not any(stem.startswith(s) or s.startswith(stem) for s in lexicon.stems):
+            lexicon.stems[stem] = weights[stem + "*"]
+    lexicon.words = {t: w for t, w in sorted(weights.items()) if not t.endswith("*") and w >= math.log(RATIO)
+                     and not any(t.startswith(s) for s in lexicon.stems)}
+    return lexicon
+
+
 def calibrate(masses: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Weights of the probability by penalised Newton steps."""
     x = np.stack([np.log1p(masses), np.log1p(100 * masses / np.maximum(1, sizes)), np.ones(len(masses))], axis=1)
@@ -244,43 +327,35 @@ def calibrate(masses: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[flo
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Lexicon:
-    """Lexicon and calibration from at most ``rows`` labelled documents; empty without toxic ones among them.
+    """Lexicon and calibration from at most ``rows`` labelled documents; empty unless both labels are among them.
 
-    The driver receives candidate terms and hits of this bounded sample, never texts.
+    Terms, contexts and near misses are counted by Spark; the driver receives the terms found often enough, the near
+    misses of clean documents, and two numbers for each of the ``rows`` documents, never texts or occurrences.
     """
     small_batches(docs.sparkSession)
     sample = stage(labelled(docs, labels, "toxic", rows).select("text", "y"), "labelled")
     counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    lexicon = Lexicon()
-    if not toxic:
-        return lexicon
-    support = max(SUPPORT, int(SUPPORT_SHARE * toxic))
-    seen = sample.where("y = 1").mapInArrow(_toxic_terms, "term string, context long, word long, first long, last long, doc long")
-    names = ("context", "word", "first", "last", "doc")
-    terms = seen.groupBy("term").agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in names])
-    terms = terms.where(F.least("context", "first", "last", "doc") >= support).where(
-        ~F.col("term").endswith("*") | (F.col("word") >= STEM_WORDS) & (F.col("first") >= STEM_SUPPORT * support))
-    candidates = {r["term"]: r["doc"] for r in terms.select("term", "doc").toArrow().to_pylist()}
-    found = sample.where("y = 0").select("text").mapInArrow(_clean_counts(set(candidates)), "term string, n long")
-    often = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist()}
-    weights = {t: math.log((n + 0.5) / (toxic + 1)) - math.log((often.get(t, 0) + 0.5) / (clean + 1)) for t, n in candidates.items()}
-    # Of stems that go on from one another, the one that is common and telling enough stands for all.
-    stems = [t[:-1] for t, w in weights.items() if t.endswith("*") and w >= math.log(STEM_RATIO)]
-    for stem in sorted(stems, key=lambda x: (-candidates[x + "*"] * min(ENOUGH, weights[x + "*"]), len(x), x)):
-        if not any(stem.startswith(s) or s.startswith(stem) for s in lexicon.stems):
-            lexicon.stems[stem] = weights[stem + "*"]
-    lexicon.words = {t: w for t, w in sorted(weights.items()) if not t.endswith("*") and w >= math.log(RATIO)
-                     and not any(t.startswith(s) for s in lexicon.stems)}
-    met = sample.mapInArrow(_sample_hits(lexicon), "y int, words array<string>, weights array<double>, edits array<int>, quoted array<boolean>, size long")
-    met = met.toArrow().to_pylist()
-    bad = Counter(w for r in met if r["y"] for w in set(r["words"]))
-    good = Counter(w for r in met if not r["y"] for w, e in set(zip(r["words"], r["edits"])) if e)
-    lexicon.clean = {w for w, n in good.items() if bad[w] <= 2 * n}
-    masses = [sum(x * (QUOTED_FACTOR if q else 1.0) for w, x, e, q in zip(r["words"], r["weights"], r["edits"], r["quoted"])
-                  if not (e and w in lexicon.clean)) for r in met]
-    sizes, y = np.array([r["size"] for r in met]), np.array([r["y"] for r in met], dtype=float)
-    lexicon.weights = calibrate(np.array(masses), sizes, y)
+    if not toxic or not clean:
+        return Lexicon()
+    seen = stage(sample.where("y = 1").mapInArrow(
+        _toxic_terms, "term string, doc long, uses array<struct<context:long,word:long>>"), "terms")
+    found = sample.where("y = 0").select("text").mapInArrow(_clean_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("often"))
+    met = seen.groupBy("term").agg(F.count_distinct("doc").alias("docs")).join(found, "term", "left")
+    met = stage(met.select("term", "docs", F.coalesce("often", F.lit(0)).alias("often")), "met")
+    places = seen.join(met.where(F.col("docs") >= SUPPORT), "term").select("term", "docs", "often", F.inline("uses"))
+    places = places.groupBy("term", "docs", "often").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("word").alias("words"))
+    terms = places.where((F.col("contexts") >= SUPPORT) & (~F.col("term").endswith("*") | (F.col("words") >= STEM_WORDS)))
+    terms = terms.select("term", "docs", F.least("docs", "contexts").alias("n"), "often").toArrow().to_pylist()
+    tested = met.where(F.col("docs") + F.col("often") >= SUPPORT).count()
+    lexicon = choose({r["term"]: (r["docs"], r["n"], r["often"]) for r in terms}, toxic, clean, tested)
+    hit = stage(sample.mapInArrow(_sample_hits(lexicon), "y int, sure double, near array<struct<word:string,mass:double>>, size long"), "hits")
+    misses = hit.select("y", F.explode("near.word").alias("word")).groupBy("word").agg(
+        F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good"))
+    lexicon.clean = {r["word"] for r in misses.where("good > 0 AND bad <= 2 * good").select("word").toArrow().to_pylist()}
+    found = hit.select("y", "sure", "near", "size").mapInArrow(_masses(lexicon.clean), "y int, mass double, size long")
+    found = found.orderBy("y", "mass", "size").toArrow()  # the same sums on every run
+    lexicon.weights = calibrate(*(found.column(c).to_numpy().astype(float) for c in ("mass", "size", "y")))
     return lexicon
 
 
