@@ -14,19 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from slotweave.llm.common import small_batches, text_udf
 from slotweave.session import broadcast_if_small, stage
+from slotweave.sources.ordinals import number_sorted
 
 WINDOW = 7
 SMALLEST, CHUNKS = 3, 64
 COMMON = 4  # signs in a row that two signatures share, or a third of the shorter one; else they are unlike
 BLOCK_IDS = 512  # ids that are ordered by one task at a time
 BYTES_AT_ONCE = 1 << 20
+TASK_BYTES = 64 << 20  # of texts that one task orders
 
 # The signs of a signature.
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -127,30 +129,38 @@ def fingerprint_column(text: str | Column = "text") -> Column:
     return text_udf("fingerprint string", lambda: lambda value: (fingerprint(value),))(text)["fingerprint"]
 
 
-def in_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(block, borrowed, doc_id, text): documents by blocks of ids, and in each the first of the next block.
+def in_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, int]:
+    """(block, borrowed, doc_id, text), and the bytes of all texts: documents in blocks, numbered in the order of
+    ids, and in each the first document of the next block.
 
-    A block spans ``block_ids`` ids. Only ids are read to find which documents begin a block; these, few,
-    are sent to the block before as well (the very first one to the last block). Null ids come first, in a
-    block of their own.
+    A block spans ``block_ids`` ids. Where repeated or null ids crowd one, every id of it gets blocks of its own, split
+    by ranges of the text's hash into pieces of about ``block_ids`` rows. Which documents begin a block is found from ids
+    and hashes; these, few unless ids are sparse, are sent to the block before as well (the very first one to
+    the last block). Null ids come first, ties are ordered by the hash of their text.
     """
-    block = F.coalesce(F.floor(F.col("doc_id") / F.lit(block_ids)).cast("long"), F.lit(-(1 << 62)))
-    heads = docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.min("doc_id").alias("first"))
-    heads = stage(heads.withColumn("over", F.floor(F.col("block") / F.lit(block_ids)).cast("long")), "heads")
-    # The block before: within a run of blocks by a window, across runs over the small table of runs.
-    runs = heads.groupBy("over").agg(F.max("block").alias("last"))
-    runs = runs.select("over", F.lag("last").over(Window.orderBy("over")).alias("before_run"))
-    end = heads.agg(F.max("block").alias("end")).first()["end"]
-    inside = F.lag("block").over(Window.partitionBy("over").orderBy("block"))
-    heads = heads.withColumn("inside", inside).join(runs, "over").select(
-        "block", "first", F.coalesce("inside", "before_run", F.lit(end)).alias("before"))
-    heads = broadcast_if_small(stage(heads, "heads"))
-    rows = docs.select("doc_id", "text", block.alias("block"))
-    on = (rows["block"] == heads["block"]) & rows["doc_id"].eqNullSafe(heads["first"])
-    rows = rows.join(heads, on, "left").select("doc_id", "text", rows["block"], "before")
-    places = F.array(F.struct(F.col("block"), F.lit(False).alias("borrowed")))
-    more = F.when(F.col("before").isNotNull(), F.array(F.struct(F.col("before").alias("block"), F.lit(True).alias("borrowed"))))
-    return rows.select("doc_id", "text", F.inline(F.concat(places, F.coalesce(more, F.array().cast("array<struct<block:bigint,borrowed:boolean>>")))))
+    span = F.coalesce(F.floor(F.col("doc_id") / F.lit(block_ids)).cast("long"), F.lit(-(1 << 62)))
+    ids = docs.select("doc_id", span.alias("span"))
+    crowded = stage(ids.groupBy("span").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block_ids).select("span"), "crowded")
+    pieces = ids.join(broadcast_if_small(crowded), "span").groupBy("doc_id").agg(
+        F.ceil(F.count("*") / F.lit(block_ids)).cast("long").alias("pieces"))
+    pieces = broadcast_if_small(stage(pieces.withColumnRenamed("doc_id", "crowded_id"), "pieces"))
+    rows = docs.select("doc_id", "text", span.alias("span"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    rows = rows.join(pieces, rows["doc_id"].eqNullSafe(pieces["crowded_id"]), "left")
+    # The upper 31 bits of the hash, counted from the smallest, times the pieces.
+    piece = F.shiftright(F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))), 33) * F.col("pieces"), 31)
+    own = F.when(F.col("pieces").isNotNull(), F.col("doc_id"))
+    rows = rows.select("doc_id", "text", "hash", "span", F.coalesce(own, F.lit(0)).cast("long").alias("own"), F.coalesce(piece, F.lit(0)).alias("piece"))
+    cells = ["span", "own", "piece"]
+    heads = stage(rows.groupBy(*cells).agg(
+        F.min(F.struct("doc_id", "hash")).alias("first"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")), "heads")
+    blocks = stage(number_sorted(heads, cells, out="block"), "blocks")
+    total = blocks.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    rows = rows.join(broadcast_if_small(blocks.drop("bytes")), cells)
+    begins = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    before = F.pmod(F.col("block") - 1, F.lit(total["n"] or 1))
+    place = lambda block, borrowed: F.struct(block.alias("block"), F.lit(borrowed).alias("borrowed"))
+    places = F.when(begins, F.array(place(F.col("block"), False), place(before, True))).otherwise(F.array(place(F.col("block"), False)))
+    return rows.select("doc_id", "text", "hash", F.inline(places)), total["bytes"] or 0
 
 
 def _compare(schema: pa.Schema):
@@ -158,6 +168,7 @@ def _compare(schema: pa.Schema):
         out: list[tuple] = []
         block = doc = text = mark = None
         open_row = False
+        last: tuple = (None, None, None)  # equal rows follow one another: what they give is computed once
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -169,13 +180,15 @@ def _compare(schema: pa.Schema):
                 t = t or ""
                 if borrowed and not (open_row and b == block):
                     continue  # a further row with the id of the borrowed one
-                now = fingerprint(t)
+                now = mark if t == text else fingerprint(t)
                 if open_row:
-                    n = len(text)
-                    edited = text[:n - n // 2] + t[:n // 2]
-                    print_edited = fingerprint(edited)
-                    out.append((doc, n, hashlib.sha256(edited.encode()).hexdigest(), mark, print_edited,
-                                likeness(mark, print_edited), likeness(mark, now)))
+                    if last[:2] != (text, t):
+                        n = len(text)
+                        edited = text[:n - n // 2] + t[:n // 2]
+                        print_edited = fingerprint(edited)
+                        last = (text, t, (n, hashlib.sha256(edited.encode()).hexdigest(), mark, print_edited,
+                                          likeness(mark, print_edited), likeness(mark, now)))
+                    out.append((doc, *last[2]))
                 block, doc, text, mark, open_row = b, d, t, now, not borrowed
             if out:
                 yield flush()
@@ -187,16 +200,18 @@ def fingerprints(docs: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row per row.
 
     The edited text keeps the first half of a text and goes on with the start of the next document's, in the
-    order of ids, after the last the first. A null text is empty. Rows that repeat an id are ordered by their
-    text. Texts travel once, to the task that orders their block.
+    order of ids, after the last the first. A null text is empty; null ids come first. Rows that repeat an id are ordered
+    by the XXH64 of their text. Texts travel once, to the task that orders their block, those that begin a block twice;
+    the number of tasks follows from the bytes of the texts. Equal rows (id and text) stay in one task.
     """
     small_batches(docs.sparkSession)
     if docs.isEmpty():
         docs = docs.limit(0)
-    rows = in_blocks(docs.select("doc_id", "text"), block_ids)
+    rows, size = in_blocks(docs.select("doc_id", "text"), block_ids)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
         T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
         T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
-    dealt = rows.repartition("block").sortWithinPartitions("block", "borrowed", "doc_id", "text")
+    dealt = rows.repartition(tasks, "block").sortWithinPartitions("block", "borrowed", "doc_id", "hash", "text")
     return dealt.select("block", "borrowed", "doc_id", "text").mapInArrow(_compare(to_arrow_schema(schema)), schema)
