@@ -39,7 +39,7 @@ def shape(word: str) -> str:
     """Letters as one a (some lower case) or A, digits as one 0, runs of one sign as that sign."""
     for pattern, sign in _RUNS:
         word = pattern.sub(sign, word)
-    return word[:12]
+    return word
 
 
 def _mix(values: np.ndarray) -> np.ndarray:

@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from slotweave.llm.common import labelled, small_batches, text_udf
 
 LEARN_ROWS = 12_000  # labelled rows whose statistics the rules are learned from
-MAX_RULES, MAX_CONDITIONS, THRESHOLDS = 16, 4, 64
 PRECISION = 0.9  # least share of bad rows among those a rule covers, on rows it was not grown on
-MIN_COVER = 4
+MIN_COVER = 4  # rows a rule must cover
 MIN_WORDS, MAX_REPEATED = 50, 50  # the base: fewer words, or a larger percentage of them repeated, fail
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -112,18 +111,19 @@ def covered(rule: Rule, rows: np.ndarray) -> np.ndarray:
 
 
 def _grow(rows: np.ndarray, bad: np.ndarray) -> list[Condition]:
-    """Add the condition with the best information gain on bad rows until only bad ones are covered."""
+    """Add the condition with the best information gain on bad rows until only bad ones are covered.
+
+    Every cut between two values is tried; each condition leaves fewer rows, so growing ends by itself.
+    """
     rule: list[Condition] = []
     inside = np.ones(len(rows), dtype=bool)
-    while len(rule) < MAX_CONDITIONS and (inside & ~bad).any():
+    while (inside & ~bad).any():
         p, n = int((inside & bad).sum()), int(inside.sum())
         before, best = np.log2(p / n), (0.0, None)
         for i, name in enumerate(STATISTICS):
             values = rows[inside, i]
             cuts = np.unique(values)
             cuts = (cuts[1:] + cuts[:-1]) / 2
-            if len(cuts) > THRESHOLDS:
-                cuts = np.unique(cuts[np.linspace(0, len(cuts) - 1, THRESHOLDS).astype(int)])
             if not len(cuts):
                 continue
             order = np.argsort(values, kind="stable")
@@ -148,14 +148,18 @@ def _worth(rule: Rule, rows: np.ndarray, bad: np.ndarray) -> float:
     return (hits - misses) / (hits + misses) if hits + misses else -1.0
 
 
-def learn(rows: np.ndarray, bad: np.ndarray, seed: int = 7) -> list[list[Condition]]:
-    """The ordered rules that reject; no rule without bad rows to learn from."""
+def learn(rows: np.ndarray, bad: np.ndarray, seed: int = 7, precision: float = PRECISION, min_cover: int = MIN_COVER) -> list[list[Condition]]:
+    """The ordered rules that reject; no rule without bad rows to learn from.
+
+    Rules are added as long as one covers ``min_cover`` rows that are left, with a share of ``precision`` bad ones among
+    those it was not grown on; nothing else bounds their number or their conditions.
+    """
     order = np.random.default_rng(seed).permutation(len(rows))
     rows, bad = rows[order], bad[order].astype(bool)
     left = np.ones(len(rows), dtype=bool)
     part = np.arange(len(rows)) % 3 == 2  # a third prunes
     rules: list[list[Condition]] = []
-    while len(rules) < MAX_RULES and (left & bad & ~part).sum() >= 1:
+    while (left & bad & ~part).any():
         grow, prune = left & ~part, left & part
         rule = _grow(rows[grow], bad[grow])
         if not rule:
@@ -165,7 +169,7 @@ def learn(rows: np.ndarray, bad: np.ndarray, seed: int = 7) -> list[list[Conditi
         inside = covered(rule, rows) & left
         unseen = inside & part
         share = bad[unseen].mean() if unseen.any() else bad[inside].mean() if inside.any() else 0.0
-        if inside.sum() < MIN_COVER or share < PRECISION:
+        if inside.sum() < max(1, min_cover) or share < precision:
             break
         rules.append(rule)
         left &= ~inside

@@ -116,6 +116,24 @@ def test_covering_finds_a_conjunction_and_expressions_agree(spark):
     assert rules.learn(rows, np.zeros(len(rows), dtype=bool)) == []
 
 
+def test_no_bound_on_rules_and_conditions():
+    """Twenty separate bands of bad rows are twenty rules or more; a corner of six statistics is one rule of six conditions."""
+    rng = np.random.default_rng(4)
+    rows = rng.random((12_000, len(rules.STATISTICS)))
+    bad = (rows[:, 0] * 40).astype(int) % 2 == 1
+    found = rules.learn(rows, bad)
+    inside = np.any([rules.covered(rule, rows) for rule in found], axis=0)
+    assert len(found) >= 20 and (inside == bad).mean() > 0.99
+    deep = (rows[:, :6] > 0.35).all(axis=1)
+    assert max(map(len, rules.learn(rows, deep))) >= 6
+    assert rules.learn(rows, deep, min_cover=len(rows)) == []
+
+
+def test_shapes_are_whole():
+    long = "A1-b2_" * 3
+    assert quality.shape(long + "x") == quality.shape(long + "yz") != quality.shape(long + "?")
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
