@@ -392,8 +392,10 @@ def ann_recall(t):
     q = rows.where("idx % 50 = 0").withColumnRenamed("idx", "qid")
     known = R.fit_quantiser(rows)
     placed = R.indexed(rows, known)
-    probes = R.calibrated_probes(q, rows, known, placed, 5)
-    found = R.code_matches(q, rows, k=5, probes=probes, known=known, placed=placed)
+    measured = R.calibration(q, rows, 5)
+    probes = R.calibrated_probes(q, rows, known, placed, 5, measured=measured)
+    shortlist = R.calibrated_shortlist(q, rows, known, placed, probes, 5, measured=measured)
+    found = R.code_matches(q, rows, k=5, probes=probes, shortlist=shortlist, known=known, placed=placed)
     return R.recall(found, R.top_matches(q, rows, k=5)).select(
         "expected", (F.col("recall") >= 0.9).alias("recalled"), F.lit(2 * probes <= len(known.centres)).alias("pruned"))
 

@@ -270,6 +270,18 @@ def test_codes_find_neighbours_in_few_cells(spark):
     assert key(every) == key(search.top_matches(q, refs, k=5))
 
 
+def test_codes_tell_dense_neighbours_apart(spark):
+    """Beside wide clusters a very dense one, in which far more than a least shortlist are nearly as close as the nearest."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(20, 32))
+    wide = centres[rng.integers(1, 20, 600)] + 0.6 * rng.normal(size=(600, 32))
+    refs = vec_df(spark, as_rows(np.concatenate([wide, centres[0] + 0.01 * rng.normal(size=(1800, 32))]))).repartition(3)
+    q = vec_df(spark, as_rows(centres[0] + 0.01 * rng.normal(size=(50, 32))), "qid bigint, intent string, vec array<double>")
+    known = search.fit_quantiser(refs)
+    found = search.code_matches(q, refs, k=5, known=known, placed=search.indexed(refs, known))
+    assert search.recall(found, search.top_matches(q, refs, k=5)).first()["recall"] >= 0.9
+
+
 @pytest.mark.parametrize("block", [3, 2048])
 def test_overlap_sums_equal_all_pairs(spark, block):
     """Sets of several intents, one of them in most sets; empty and null sets pair with none."""
