@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.operators import metrics as M
 from slotweave.operators import search as R
+from slotweave.session import stage
 
 # Mixing coefficients of the validation sweep.
 RATIOS = [0.0, 0.1, 0.2, 0.5]
@@ -33,10 +36,16 @@ def nearest_predictions(rows: DataFrame) -> DataFrame:
 
 
 def compression_sweep(rows: DataFrame, ratios: list[float] | None = None, p: int = 0) -> DataFrame:
-    """Accuracy per (ratio, split): utterance and template vectors mixed on both sides."""
-    mixed = R.mixture_sweep(with_templates(rows), ratios or RATIOS, p)
-    found = R.nearest(queries(mixed, "ratio"), references(mixed, "ratio"), within=["ratio"])
-    return M.accuracy(found, ["ratio", "split"])
+    """Accuracy per (ratio, split): utterance and template vectors mixed on both sides.
+
+    Each ratio is a search of its own, whose references go to the queries; mixed vectors are never exchanged.
+    """
+    both = stage(with_templates(rows), "both")
+    found = []
+    for ratio in ratios or RATIOS:
+        mixed = R.mixture_sweep(both, [ratio], p)
+        found.append(R.nearest(queries(mixed, "ratio"), references(mixed)).select("ratio", "split", "intent", "ref_intent"))
+    return M.accuracy(reduce(DataFrame.unionByName, found), ["ratio", "split"])
 
 
 def chosen_coefficient(sweep: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import vectors as V
 from slotweave.operators import encode, losses, metrics, pairs, pooling, probe, search, tiles
+from slotweave.plans import evaluation
 
 
 def vec_df(spark, rows, cols="idx bigint, intent string, vec array<double>"):
@@ -305,3 +306,14 @@ def test_many_sets_under_one_intent_give_a_row_a_tile(spark):
     ids = np.arange(n, dtype=float)
     assert out["pairs"] == n * (n - 1) // 2 and out["d"] == n * (ids ** 2).sum() - ids.sum() ** 2
     assert out["tiles"] <= 6 * 7 // 2 + 6 + n  # the sets' own intents are tiles of one
+
+
+def test_sweep_exchanges_no_vectors(spark):
+    """Each ratio searches beside its queries: behind the written rows nothing is grouped but the counts."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame(
+        [(i, i - i % 7, ("test", "valid", "train", "train")[i % 4], str(i % 3), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(80, 6)))],
+        "vec_id long, tpl_id long, split string, intent string, vec array<double>")
+    out = evaluation.compression_sweep(rows)
+    assert "CoGroup" not in out._jdf.queryExecution().toString()
+    assert sorted((r["ratio"], r["split"], r["total"]) for r in out.collect()) == [(x, s, 20) for x in evaluation.RATIOS for s in ("test", "valid")]
