@@ -8,17 +8,20 @@ several passes over the texts, which never move.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.session import stage
+from slotweave.session import small_batches, stage
 
 PART_TERMS = 200_000  # terms of one automaton
 SPANS = "array<struct<start:int,stop:int,label:string>>"
+TAGGED = f"struct<spans:{SPANS},annotation:string>"
 
 _GROUP = re.compile(r"\[[^\[\]]*\]")
 
@@ -58,22 +61,72 @@ def chosen(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
+def annotated(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each span as ``[label : text]``, in one pass."""
+    out, at = [], 0
+    for start, stop, label in spans:
+        out += [text[at:start], "[", label, " : ", text[start:stop], "]"]
+        at = stop
+    return "".join([*out, text[at:]])
+
+
+def _span_arrays(rows: Iterator[list[tuple[int, int, str]] | None]) -> pa.Array:
+    """Lists of spans as an Arrow column, without an object for each span of a batch."""
+    starts, stops, labels, ends, none, names = array("i"), array("i"), array("i"), array("i", [0]), [], {}
+    for spans in rows:
+        none.append(spans is None)
+        for start, stop, label in spans or ():
+            starts.append(start)
+            stops.append(stop)
+            labels.append(names.setdefault(label, len(names)))
+        ends.append(len(starts))
+    numbers = [pa.array(np.frombuffer(n, dtype=np.int32)) if len(n) else pa.array([], pa.int32()) for n in (starts, stops, labels)]
+    spans = pa.StructArray.from_arrays([*numbers[:2], pa.array(list(names), pa.string()).take(numbers[2])], names=["start", "stop", "label"])
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, dtype=np.int32)), spans, mask=pa.array(none, pa.bool_()))
+
+
+def _tagged_arrays(rows: Iterator[tuple[str | None, list[tuple[int, int, str]] | None]]) -> pa.Array:
+    """Spans and annotation of each text of a batch; a text is annotated as soon as its spans are known."""
+    annotations = []
+
+    def each():
+        for text, spans in rows:
+            annotations.append(None if text is None else annotated(text, spans))
+            yield None if text is None else spans
+
+    spans = _span_arrays(each())
+    return pa.StructArray.from_arrays([spans, pa.array(annotations, pa.string())], names=["spans", "annotation"])
+
+
 def _finder(terms: list[tuple[str, str]], whole_words: bool):
-    @F.pandas_udf(SPANS)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(SPANS)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = automaton(terms)
         for batch in batches:
-            yield pd.Series([[dict(zip(("start", "stop", "label"), f)) for f in occurrences(known, t, whole_words)] if isinstance(t, str) else None for t in batch])
+            texts = (t.as_py() for t in batch)
+            yield _span_arrays(None if t is None else occurrences(known, t, whole_words) for t in texts)
 
     return find
 
 
-def _chooser() -> Column:
-    @F.pandas_udf(SPANS)
-    def choose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _tagger(terms: list[tuple[str, str]], whole_words: bool):
+    """All of it at once, where the terms are one part."""
+    @F.arrow_udf(TAGGED)
+    def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = automaton(terms)
         for batch in batches:
-            yield pd.Series([None if spans is None else [dict(zip(("start", "stop", "label"), f)) for f in chosen([(s["start"], s["stop"], s["label"]) for s in spans])]
-                             for spans in batch])
+            texts = (t.as_py() for t in batch)
+            yield _tagged_arrays((t, None if t is None else chosen(occurrences(known, t, whole_words))) for t in texts)
+
+    return tag
+
+
+def _chooser():
+    @F.arrow_udf(TAGGED)
+    def choose(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            pairs = ((t.as_py(), spans.as_py()) for t, spans in zip(texts, found))
+            yield _tagged_arrays((t, None if t is None else chosen([(s["start"], s["stop"], s["label"]) for s in spans])) for t, spans in pairs)
 
     return choose
 
@@ -84,18 +137,13 @@ def tag_dictionary(df: DataFrame, text: str, terms: DataFrame, whole_words: bool
     ``terms(term, label)`` are found as they are written; null and empty ones are none. Bracket groups that are in the text
     already, as pattern taggers leave them, are kept and not looked into. A null text has null results.
     """
+    small_batches(df.sparkSession)
     held = stage(terms.where("term <> '' AND label IS NOT NULL").select("term", "label").distinct(), "terms")
     parts = max(1, -(-held.count() // part_terms))
-    found = None
+    found = []
     for number in range(parts):
         some = held if parts == 1 else held.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == number)
-        spans = _finder([(r["term"], r["label"]) for r in some.collect()], whole_words)(F.col(text))  # as many as a part holds
-        found = spans if found is None else F.concat(found, spans)
-    tagged = df.withColumn("spans", _chooser()(found))
-    # The text behind the last span, and before each span what lies between it and the one before.
-    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["stop"])
-    pieces = F.transform("spans", lambda s, i: F.concat(
-        F.substr(F.col(text), begin(i) + 1, s["start"] - begin(i)), F.lit("["), s["label"], F.lit(" : "), F.substr(F.col(text), s["start"] + 1, s["stop"] - s["start"]), F.lit("]")))
-    rest = F.substr(F.col(text), F.coalesce(F.element_at("spans", F.lit(-1))["stop"], F.lit(0)) + 1)
-    rest = F.when(F.size("spans") > 0, rest).otherwise(F.col(text))
-    return tagged.withColumn("annotation", F.concat(F.array_join(pieces, ""), rest))
+        pairs = [(r["term"], r["label"]) for r in some.collect()]  # as many as a part holds
+        found.append((_tagger if parts == 1 else _finder)(pairs, whole_words)(F.col(text)))
+    tagged = found[0] if parts == 1 else _chooser()(F.col(text), F.concat(*found))
+    return df.withColumn("_tagged", tagged).withColumns({"spans": F.col("_tagged.spans"), "annotation": F.col("_tagged.annotation")}).drop("_tagged")

@@ -2,6 +2,7 @@
 
 import random
 import threading
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -116,3 +117,15 @@ def test_sketch_is_within_its_bound(spark):
         assert abs(got["potential"] - np.exp(-2 * d2).mean()) <= got["bound"] < 0.05
     with pytest.raises(ValueError):
         pairs.uniformity_sketch(df.limit(0))
+
+
+def test_many_spans_of_a_batch_are_no_objects():
+    """A batch of crowded texts takes about its own size in Python, not an object for each span."""
+    known = tagger.automaton([("a", "T")])
+    texts = ["a b " * 1000] * 100
+    tracemalloc.start()
+    out = tagger._tagged_arrays((t, tagger.chosen(tagger.occurrences(known, t, False))) for t in texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 100 and out[99]["annotation"].as_py() == "[T : a] b " * 1000 and len(out[99]["spans"]) == 1000
+    assert peak < 40 * 100 * 1000
