@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from slotweave.session import broadcast_if_small, stage
 
 CHUNK_BYTES = 1 << 20
+FOUND_ROWS = 64  # elements across chunk borders put together at a time
 
 _ESCAPE = re.compile(rb"\\.", re.DOTALL)
 _TOKEN = re.compile(rb'"((?:[^"\\]|\\.)*)"(\s*:)?|[\[\]{}]', re.DOTALL)
@@ -126,20 +127,20 @@ def chunks(spark: SparkSession, path, separator: str, size: int = CHUNK_BYTES, s
 
 
 def _cutter(opener: bytes, closer: bytes, level: int):
+    """Chunks to their elements, a chunk at a time: what a batch holds is never in Python objects all at once."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for file, number, data, inside, depth in zip(*(batch.column(c).to_pylist() for c in ("file", "number", "data", "inside", "depth"))):
+            for at in range(batch.num_rows):
+                file, number, data, inside, depth = (batch.column(c)[at].as_py() for c in ("file", "number", "data", "inside", "depth"))
                 groups = split_elements(data, closer, inside, depth, level)
                 ends = len(groups) - 1
-                if ends:
-                    rows.append((file, number, 0, ends, None, groups[0]))
+                rows = [(file, number, 0, ends, None, groups[0])] if ends else []
                 for i, group in enumerate(groups[1:-1], 1):
                     rows.append((file, number, i, ends, *element_of(group, opener, level, level)))
                 rows.append((file, number, None, ends, None, groups[-1]))  # goes on in the next chunk that has an end
-            names = ["file", "number", "i", "ends", "key", "data"]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "number", "i", "ends", "key", "data"])
 
     return run
 
@@ -147,11 +148,13 @@ def _cutter(opener: bytes, closer: bytes, level: int):
 def _finder(opener: bytes, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [element_of(b"".join(p["data"] for p in pieces), opener, 0 if first else level, level)
-                     for first, pieces in zip(batch.column("first").to_pylist(), batch.column("pieces").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("number"), pa.array([k for k, _ in found], pa.binary()), pa.array([e for _, e in found], pa.binary())],
-                names=["file", "number", "key", "data"])
+            for at in range(0, batch.num_rows, FOUND_ROWS):
+                some = batch.slice(at, FOUND_ROWS)
+                found = [element_of(b"".join(p["data"] for p in pieces.as_py()), opener, 0 if first.as_py() else level, level)
+                         for first, pieces in zip(some.column("first"), some.column("pieces"))]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("file"), some.column("number"), pa.array([k for k, _ in found], pa.binary()), pa.array([e for _, e in found], pa.binary())],
+                    names=["file", "number", "key", "data"])
 
     return run
 

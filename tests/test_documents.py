@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -114,3 +115,14 @@ def test_walk_agrees_from_any_cut():
     for at in range(1, len(pieces)):
         a, b = D.effect(pieces[:at]), D.effect(pieces[at:])
         assert (a[0] ^ b[0], a[1] + (b[2] if a[0] else b[1])) == (False, 0)
+
+
+def test_cutter_gives_a_batch_a_chunk():
+    """What a batch of chunks holds leaves chunk by chunk, not as one list of all its elements."""
+    data = [b'{"a":[{"t":1},{"t":2}', b',{"t":3},{"t":4}', b',{"t":5}]}']
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["f"] * 3), pa.array([0, 1, 2]), pa.array(data, pa.binary()), pa.array([False] * 3), pa.array([0, 2, 2])],
+        names=["file", "number", "data", "inside", "depth"])
+    out = list(D._cutter(b"{", b"}", 2)(iter([batch])))
+    assert len(out) == 3 and all(b.column("number").to_pylist() == [n] * b.num_rows for n, b in enumerate(out))
+    assert [x for b in out for x, i in zip(b.column("data").to_pylist(), b.column("i").to_pylist()) if i] == [b'{"t":2}', b'{"t":4}']
