@@ -1,14 +1,18 @@
 """Near copies: texts link when the Jaccard similarity of their word shingles is large enough.
 
-Texts with the same set of shingles are one entry. Of every other entry a MinHash sketch is cut into bands; entries
-that agree in a whole band are compared, by their shingle sets and not by their sketches. A pair at the threshold of
-0.8 agrees in none of the 28 bands with probability (1 - 0.8^5)^28, about 1 in 66,000; that is the only way to miss a link,
-and nothing below the threshold links.
+Texts with the same set of shingles are one entry. Every other entry has a SimHash fingerprint of its set, and the Gray-ordered
+index of ``simhash`` finds the fingerprints that differ in few bits. What it connects is a value that its entries share, and entries
+that share a value are compared, by their shingle sets and not by their fingerprints.
 
-Of the entries that share a band value the largest connected part needs no comparison in itself. The rest is cut into blocks
+Fingerprints of sets at the threshold of 0.8 differ in ten of 64 bits on average, more than an index of blocks can cover. For the
+pairs beyond its limit a MinHash sketch is cut into bands, and a whole band is a value like the other. A pair at the threshold
+agrees in none of the 28 bands with probability (1 - 0.8^5)^28, about 1 in 66,000; only such a pair can be missed, if its
+fingerprints are far apart, too. Nothing below the threshold links.
+
+Of the entries that share a value the largest connected part needs no comparison in itself. The rest is cut into blocks
 of bounded size, and each is compared in itself, with a few entries of the largest part and with a few of the rest, which connects a
 group of copies however large. What is still apart then, and only that, is compared with everything: every pair is compared
-or already connected. Bands go in rounds, and a later round leaves out what the earlier ones connected.
+or already connected. The index goes first, the bands follow in rounds, and a later round leaves out what the earlier ones connected.
 """
 
 from __future__ import annotations
@@ -22,11 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotweave.llm import simhash
 from slotweave.llm.common import small_batches, text_udf
 from slotweave.llm.components import components
 from slotweave.session import broadcast_if_small, stage
 
 SHINGLE, SIMILARITY = 5, 0.8
+BITS = 7  # fingerprints up to so far apart meet through the index
+INDEX_ROWS = 2000  # fingerprints under one of its top nodes before it is split
 BANDS, ROWS = 28, 5
 SEED = 42
 HASHES_AT_ONCE = 1 << 11  # hashes of a text that meet all functions of the sketch at once
@@ -62,7 +69,8 @@ def _sketch(shingle: int, bands: int, rows: int) -> Callable[[], Callable[[str],
                 least = np.minimum(least, ((have[at:at + HASHES_AT_ONCE] ^ flip) * times).min(axis=1))
             cut = least.reshape(bands, rows)
             keys = [xxhash.xxh64_intdigest(cut[b].tobytes(), b) for b in range(bands)] if len(have) else []
-            return xxhash.xxh3_128_digest(have.tobytes()), np.array(keys, dtype=np.uint64).view(np.int64), len(have)
+            fp = simhash.fingerprint_of(have)
+            return xxhash.xxh3_128_digest(have.tobytes()), fp - (1 << 64) if fp >> 63 else fp, np.array(keys, dtype=np.uint64).view(np.int64), len(have)
 
         return work
 
@@ -168,20 +176,32 @@ def last_tiles(members: DataFrame) -> DataFrame:
     return rest.select(tile, F.lit(1).alias("side"), "node", "root", "size").unionByName(every.select(tile, F.lit(0).alias("side"), "node", "root", "size"))
 
 
+def index_values(sketches: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, near): for fingerprints that the Gray index connects with a smaller one, the smallest they reach.
+
+    Entries without words have no fingerprint.
+    """
+    prints = stage(sketches.where("size > 0").select("fp").distinct(), "prints")
+    return stage(components(simhash.near_links(prints, bits, INDEX_ROWS)).select(F.col("node").alias("fp"), F.col("root").alias("near")), "near")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                tile: int = TILE, rounds: tuple[int, ...] = BAND_ROUNDS) -> DataFrame:
+                tile: int = TILE, rounds: tuple[int, ...] = BAND_ROUNDS, bits: int = BITS) -> DataFrame:
     """(row, root) of ``docs(row, text)``: rows of one group of near copies have the same root, the smallest row of some text.
 
     ``row`` is a unique long and the same on every read. Null texts and texts without words are one group. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sketch = text_udf("sig binary, bands array<long>, size int", _sketch(shingle, bands, rows))
-    sketches = stage(docs.select("row", sketch("text").alias("s")).select("row", "s.sig", "s.bands", "s.size"), "sketches")
+    sketch = text_udf("sig binary, fp long, bands array<long>, size int", _sketch(shingle, bands, rows))
+    sketches = stage(docs.select("row", sketch("text").alias("s")).select("row", "s.sig", "s.fp", "s.bands", "s.size"), "sketches")
     classes = stage(sketches.groupBy("sig").agg(F.min("row").alias("node")), "classes")
-    heads = stage(sketches.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands", "size"), "heads")
-    # Only texts that share a band value with another are ever compared; they are written apart.
-    spread = heads.select("node", F.explode("bands").alias("key"))
+    heads = sketches.join(classes.select(F.col("node").alias("row")), "row", "left_semi").join(broadcast_if_small(index_values(sketches, bits)), "fp", "left")
+    # What the index connects is the first value of its entries, the bands are the others.
+    first = F.when(F.col("size") > 0, F.array(F.xxhash64(F.lit(SEED), F.coalesce("near", "fp")))).otherwise(F.array().cast("array<long>"))
+    heads = stage(heads.select(F.col("row").alias("node"), F.concat(first, "bands").alias("values"), "size"), "heads")
+    # Only texts that share a value with another are ever compared; they are written apart.
+    spread = heads.select("node", F.explode("values").alias("key"))
     met = stage(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "met")
     asked = stage(spread.join(broadcast_if_small(met), "key", "left_semi").select("node").distinct(), "asked")
     texts = stage(docs.select(F.col("row").alias("node"), "text").join(broadcast_if_small(asked), "node", "left_semi"), "texts")
@@ -201,8 +221,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         return stage(components(links.unionByName(known)), "roots")
 
     done = 0
-    for upto in [*[r for r in rounds if r < bands], bands]:
-        dealt = heads.select("node", "size", F.explode(F.slice("bands", done + 1, upto - done)).alias("key"))
+    for upto in [1, *[1 + r for r in rounds if r < bands], 1 + bands]:
+        dealt = heads.select("node", "size", F.explode(F.slice("values", done + 1, upto - done)).alias("key"))
         dealt = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # Values whose entries are connected need no comparison; those that gather the same entries are compared once.
         shared = dealt.groupBy("key").agg(

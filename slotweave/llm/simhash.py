@@ -35,6 +35,17 @@ GROUP_ROWS = 20_000  # fingerprints under one top node before it is split
 LEVELS = 4  # splits; with 3 bits then 44 bits are fixed and 20 are free
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of shingle hashes; 0 without any."""
+    ones = sum((_ones(hashes[at:at + HASHES_AT_ONCE]) for at in range(0, len(hashes), HASHES_AT_ONCE)), np.zeros(64, dtype=np.int64))
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str, shingle: int = 3) -> int:
     """The 64-bit fingerprint of a text; 0 without words. Words are cut at ASCII white space, A-Z lower-cased."""
     words = text.encode().lower().split()
@@ -45,8 +56,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, HASHES_AT_ONCE):
-        some = np.fromiter(hashes, dtype=">u8", count=min(HASHES_AT_ONCE, n - at))
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += _ones(np.fromiter(hashes, dtype=np.uint64, count=min(HASHES_AT_ONCE, n - at)))
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
