@@ -41,7 +41,7 @@ TILE = 512  # entries in a block
 TILE_SHINGLES = 1 << 20  # and shingles, on average
 FEW = 32  # entries that stand for a part
 BAND_ROUNDS = (4, 28)  # bands compared up to and with each round
-COUNTS_AT_ONCE = 1 << 21
+COUNTS_AT_ONCE = 1 << 18  # shared shingles of an entry counted at once
 
 
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:

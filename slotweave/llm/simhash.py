@@ -31,6 +31,7 @@ from slotweave.session import stage
 SEED = 42
 HASHES_AT_ONCE = 1 << 16  # hashes of a long text held together
 LEAF, FAN = 16, 8  # fingerprints in a leaf, nodes under a node
+PAIRS_AT_ONCE = 1 << 16  # pairs of a fingerprint and a node, or another one, compared at once
 GROUP_ROWS = 20_000  # fingerprints under one top node before it is split
 LEVELS = 4  # splits; with 3 bits then 44 bits are fixed and 20 are free
 
@@ -104,23 +105,32 @@ class GrayIndex:
         self.leaf_mask = shared[0][0]
 
     def links(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions i < j at most ``bits`` apart, in blocks."""
+        """Pairs of positions i < j at most ``bits`` apart, in blocks.
+
+        Depth first: of every level at most ``PAIRS_AT_ONCE`` pairs of a position and a node are held, even where nothing is pruned.
+        """
         n = len(self.values)
-        block = max(1, (1 << 20) // max(1, n // LEAF))
-        for at in range(0, n, block):
-            who = np.arange(at, min(n, at + block))
-            nodes, apart = np.zeros(len(who), dtype=np.int64), np.zeros(len(who), dtype=np.int64)
-            for depth in range(len(self.levels) - 1, -1, -1):
-                own, pattern = self.levels[depth]
-                apart = apart + np.bitwise_count((self.values[who] ^ pattern[nodes]) & own[nodes])
-                keep = apart <= bits
-                who, nodes, apart = who[keep], nodes[keep], apart[keep]
-                width, below = (FAN, len(self.levels[depth - 1][0])) if depth else (LEAF, n)
-                nodes = (nodes[:, None] * width + np.arange(width)).ravel()
-                who, apart = np.repeat(who, width), np.repeat(apart, width)
-                # Runs are in order, so a node before the query's own run holds no later position.
-                keep = (nodes < below) & (nodes >= who // (LEAF * FAN ** (depth - 1)) if depth else (nodes > who) & (nodes < below))
-                who, nodes, apart = who[keep], nodes[keep], apart[keep]
+        todo = [(len(self.levels) - 1, np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64))]
+        while todo:
+            depth, who, nodes, apart = todo.pop()
+            width, below = (FAN, len(self.levels[depth - 1][0])) if depth else (LEAF, n)
+            step = PAIRS_AT_ONCE // width
+            if len(who) > step:
+                todo.append((depth, who[step:], nodes[step:], apart[step:]))
+                who, nodes, apart = who[:step], nodes[:step], apart[:step]
+            own, pattern = self.levels[depth]
+            apart = apart + np.bitwise_count((self.values[who] ^ pattern[nodes]) & own[nodes])
+            keep = apart <= bits
+            who, nodes, apart = who[keep], nodes[keep], apart[keep]
+            nodes = (nodes[:, None] * width + np.arange(width)).ravel()
+            who, apart = np.repeat(who, width), np.repeat(apart, width)
+            # Runs are in order, so a node before the query's own run holds no later position.
+            keep = (nodes < below) & (nodes >= who // (LEAF * FAN ** (depth - 1)) if depth else (nodes > who) & (nodes < below))
+            who, nodes, apart = who[keep], nodes[keep], apart[keep]
+            if depth:
+                if len(who):
+                    todo.append((depth - 1, who, nodes, apart))
+                continue
             rest = ~self.leaf_mask[nodes // LEAF]
             near = apart + np.bitwise_count((self.values[who] ^ self.values[nodes]) & rest) <= bits
             if near.any():
@@ -144,8 +154,8 @@ def spanning_links(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
         return i
 
     for left, right in GrayIndex(values).links(bits):
-        ends = np.unique(np.stack([root[left], root[right]]), axis=1)
-        for i, j in ends[:, ends[0] != ends[1]].T.tolist():
+        ends = np.stack([root[left], root[right]])
+        for i, j in np.unique(ends[:, ends[0] != ends[1]], axis=1).T.tolist():
             i, j = top(i), top(j)
             if i != j:
                 root[max(i, j)] = min(i, j)

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import xxhash
 
@@ -73,3 +75,22 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 50)}
+
+
+def test_index_over_a_dense_group_holds_few_pairs():
+    """Fingerprints around one value prune nothing; what is held does not grow with the square of their number."""
+    rng = np.random.default_rng(1)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (2000, 3), dtype=np.uint64), axis=1)
+    values = np.unique(flips ^ np.uint64(0x123456789ABCDEF))
+    values = values[np.argsort(S.gray_rank(values), kind="stable")]
+    tracemalloc.start()
+    pairs = {(i, j) for left, right in S.GrayIndex(values).links(3) for i, j in zip(left.tolist(), right.tolist())}
+    tracemalloc.clear_traces()
+    tracemalloc.reset_peak()
+    member, root = S.spanning_links(values, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    apart = np.bitwise_count(values[:, None] ^ values)
+    assert pairs == set(zip(*(x.tolist() for x in np.nonzero(np.triu(apart <= 3, 1)))))
+    assert member.tolist() == list(range(1, len(values))) and not root.any()
+    assert peak < 32 << 20
