@@ -38,6 +38,15 @@ def _bucketed(df, keys, value, order):
     )
 
 
+def _keyed_documents(df, key, value, order):
+    """One object per id range, an array for each key in it: as many documents as ranges, however many keys there are.
+
+    A null key cannot be written and stops the job.
+    """
+    arrays = _bucketed(df, [key], value, order).groupBy("_bucket").agg(F.collect_list(F.struct(key, "rows")).alias("arrays"))
+    return arrays.select(F.to_json(F.map_from_entries("arrays")))
+
+
 @query(oracle(["annotated"], """
 SELECT CAST(ex_id AS VARCHAR) AS id, split, utterance, annotation, intent, source AS scenario FROM annotated"""))
 def scan_annotated_jsonl(t):
@@ -56,8 +65,7 @@ SELECT intent, regexp_replace(annotation, {ANN}, '\2', 'g') AS utterance, annota
 def scan_part_json(t):
     path = fresh_path(t.spark, "nested")
     data = F.transform("parts", lambda p: F.struct(p["value"].alias("text"), p["kind"].alias("entity")))
-    rows = _bucketed(examples(t), ["intent"], F.struct(data.alias("data")), "ex_id")
-    _documents(rows.select(F.to_json(F.create_map("intent", "rows"))), path)
+    _documents(_keyed_documents(examples(t), "intent", F.struct(data.alias("data")), "ex_id"), path)
     return R.read_part_json(t.spark, path).select(
         "intent", "utterance", A.parts_to_annotation(F.col("parts")).alias("annotation"), "encoding"
     )
@@ -167,8 +175,7 @@ def scan_split_json(t):
     rows = t.view("doc_rows").withColumn(
         "name", F.concat(F.when(F.col("task") == "web", "oos_").otherwise(""), F.when(F.col("split") == "valid", "val").otherwise(F.col("split")))
     )
-    groups = _bucketed(rows, ["name"], F.array("utterance", "intent"), "idx")
-    _documents(groups.select(F.to_json(F.create_map("name", "rows"))), path)
+    _documents(_keyed_documents(rows, "name", F.array("utterance", "intent"), "idx"), path)
     return R.read_split_json(t.spark, path).select("split", "is_oos", F.md5("utterance").alias("utterance_md5"), "intent")
 
 

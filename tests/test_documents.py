@@ -6,8 +6,10 @@ import json
 import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from slotweave.operators import digest
+from slotweave.plans.catalogue import sources as catalogue_sources
 from slotweave.sources import documents as D
 from slotweave.sources import readers as R
 
@@ -126,3 +128,12 @@ def test_cutter_gives_a_batch_a_chunk():
     out = list(D._cutter(b"{", b"}", 2)(iter([batch])))
     assert len(out) == 3 and all(b.column("number").to_pylist() == [n] * b.num_rows for n, b in enumerate(out))
     assert [x for b in out for x, i in zip(b.column("data").to_pylist(), b.column("i").to_pylist()) if i] == [b'{"t":2}', b'{"t":4}']
+
+
+def test_documents_are_few_however_many_keys(spark):
+    """An id range is one document with an array for each of its keys."""
+    rows = spark.range(4000).selectExpr("id", "concat('k', id % 150) AS name", "named_struct('data', array(named_struct('text', concat('t', id)))) AS row")
+    found = [json.loads(r[0]) for r in catalogue_sources._keyed_documents(rows, "name", F.col("row"), "id").collect()]
+    assert len(found) == 2
+    got = sorted((k, x["data"][0]["text"]) for doc in found for k, values in doc.items() for x in values)
+    assert got == sorted((f"k{i % 150}", f"t{i}") for i in range(4000))
